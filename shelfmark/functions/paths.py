@@ -19,8 +19,18 @@ def _col(value) -> Column:
 
 
 def segments(path) -> Column:
-    """All parts of a path, the file name last."""
-    return F.filter(F.split(_col(path), "/"), lambda part: part != "")
+    """All parts of a (non-empty) path, the file name last."""
+    return F.split(F.regexp_replace(_col(path), "^/+|/+$", ""), "/+")
+
+
+def _base(root) -> tuple[Column, Column]:
+    """Parts of a root folder and their number; literals when the root is text."""
+    if isinstance(root, str):
+        parts = [p for p in root.split("/") if p]
+        listed = F.array(*[F.lit(p) for p in parts]) if parts else F.array().cast("array<string>")
+        return listed, F.lit(len(parts))
+    parts = F.filter(segments(root), lambda p: p != "")
+    return parts, F.size(parts)
 
 
 def folder_parts(path) -> Column:
@@ -99,19 +109,18 @@ def marker_matches(part, marker) -> Column:
         F.lit(False))
 
 
-def root_length(root) -> Column:
-    """Number of parts of a root folder given as text or column."""
-    return F.size(segments(F.lit(root) if isinstance(root, str) else root))
+def under_root(dirs: Column, root, fold_case: bool = False) -> Column:
+    """Do the folder parts start with the root's?"""
+    fold = (lambda c: F.transform(c, lambda p: F.lower(p))) if fold_case else (lambda c: c)
+    base, count = _base(root)
+    return fold(F.slice(dirs, F.lit(1), count)) == fold(base)
 
 
 def below_root(dirs: Column, root, fold_case: bool = False) -> Column:
     """Folder parts strictly below ``root``; all of them when not under it."""
-    fold = (lambda c: F.transform(c, F.lower)) if fold_case else (lambda c: c)
-    base = segments(F.lit(root) if isinstance(root, str) else root)
-    count = F.size(base)
-    under = fold(F.slice(dirs, F.lit(1), count)) == fold(base)
+    _, count = _base(root)
     rest = F.slice(dirs, count + 1, F.greatest(F.size(dirs) - count, F.lit(0)))
-    return F.when(under, rest).otherwise(dirs)
+    return F.when(under_root(dirs, root, fold_case), rest).otherwise(dirs)
 
 
 def marker_anchor(dirs: Column, root, marker, fold_case: bool = False) -> Column:
@@ -120,15 +129,12 @@ def marker_anchor(dirs: Column, root, marker, fold_case: bool = False) -> Column
     The first match at or below the root wins (the root itself counts), else
     the closest match above it.  A path outside the root scans from the top.
     """
-    fold = (lambda c: F.transform(c, F.lower)) if fold_case else (lambda c: c)
-    hits = F.filter(
-        F.transform(dirs, lambda part, i: F.when(marker_matches(part, marker), i)),
-        lambda i: i.isNotNull())
+    fold = (lambda c: F.transform(c, lambda p: F.lower(p))) if fold_case else (lambda c: c)
+    hits = F.transform(dirs, lambda part, i: F.when(marker_matches(part, marker), i))
     if root is None:
         return F.array_min(hits)
-    base = segments(F.lit(root) if isinstance(root, str) else root)
-    count = F.size(base)
-    under = fold(F.slice(dirs, F.lit(1), count)) == fold(base)
+    base, count = _base(root)
+    under = under_root(dirs, root, fold_case)
     # A root that is the file itself: everything is above it.
     is_file = fold(dirs) == fold(F.slice(base, F.lit(1), F.greatest(count - 1, F.lit(0))))
     start = (
@@ -212,8 +218,7 @@ def collapses_structure(mode, output_root, root) -> Column:
 
 def outside_tree(dest, root) -> Column:
     """The destination is not under the root."""
-    base = segments(F.lit(root) if isinstance(root, str) else root)
-    return F.slice(segments(dest), F.lit(1), F.size(base)) != base
+    return ~under_root(segments(dest), root)
 
 
 def is_staged_leftover(name) -> Column:

@@ -28,58 +28,71 @@ def _setting(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
-def destination(path, mode, cfg: LayoutConfig, root=None, export_folder=None, marker=None,
-                subfolder=None) -> Column:
-    """P5 as a column.  ``mode``, ``root`` and the export settings may be columns.
+def _needs_anchor(mode) -> bool:
+    return not isinstance(mode, int) or mode in (6, 7)
 
-    NULL means the mode leaves the file out.
-    """
-    mode = _mode(mode)
-    root = cfg.root if root is None else root
-    marker = cfg.export_marker if marker is None else marker
-    folder = _setting(cfg.export_folder if export_folder is None else export_folder)
-    wanted = _setting(cfg.export_subfolder if subfolder is None else subfolder)
-    root_col = _setting(root)
-    flat = F.coalesce(_setting(cfg.output_root), root_col)
-
-    dirs, name = P.folder_parts(path), P.file_name(path)
-    out = name if cfg.extension is None else F.concat(P.stem_of(name), F.lit(cfg.extension))
-    here = P.parent(path)
-    above = P.parent(here)
-    own = F.coalesce(F.element_at(dirs, -1), F.lit(""))
-
-    anchor = P.marker_anchor(dirs, root, marker, cfg.fold_case)
-    lead = F.when(F.col(path).startswith("/") if isinstance(path, str) else path.startswith("/"),
-                  F.lit("/")).otherwise(F.lit(""))
-    export_dir = F.concat(lead, F.concat_ws("/", F.slice(dirs, F.lit(1), anchor + 1)))
-    # Exactly one level below the marker is dropped.
-    kept = F.slice(dirs, anchor + 3, F.greatest(F.size(dirs) - anchor - 2, F.lit(0)))
-    first_below = F.get(dirs, anchor + 1)
-    in_subfolder = (F.coalesce(wanted, F.lit("")) == "") | (
-        F.lower(F.coalesce(first_below, name)) == F.lower(wanted))
-    exported = F.concat_ws(
-        "/", F.concat(F.array(export_dir, folder), kept, F.array(out)))
 
-    return (
-        F.when(mode == 0, P.join_path(
-            F.coalesce(_setting(cfg.output_root), here), out))
-        .when(mode == 1, P.join_path(here, F.lit(cfg.beside_folder), out))
-        .when(mode == 2, P.join_path(F.regexp_replace(flat, "/$", ""), out))
-        .when(mode == 3, P.join_path(here, F.lit(cfg.sub_folder), out))
-        .when(mode == 4, P.join_path(
-            above, P.replace_token(own, cfg.token_from, cfg.token_to), out))
-        .when(mode == 5, P.join_path(above, F.lit(cfg.sibling_folder), out))
-        .when((mode == 6) & anchor.isNotNull(), exported)
-        .when((mode == 7) & anchor.isNotNull() & F.coalesce(in_subfolder, F.lit(False)), exported)
-        .when(mode == 8, P.join_path(here, out)))
+def _with_anchor(df: DataFrame, col: str, root, marker, fold_case: bool) -> DataFrame:
+    # Columns of their own: the rules below look at them several times.
+    return df.withColumn("_dirs", P.folder_parts(col)).withColumn(
+        "_anchor", P.marker_anchor(F.col("_dirs"), root, marker, fold_case))
 
 
 def resolve_destination(df: DataFrame, mode, direction: str = "archive",
-                        cfg: LayoutConfig | None = None, col: str = "path",
-                        name: str = "dest") -> DataFrame:
-    """P5: add the planned destination; NULL where the mode leaves a file out."""
+                        cfg: LayoutConfig | None = None, col: str = "path", name: str = "dest",
+                        root=None) -> DataFrame:
+    """P5: add the planned destination; NULL where the mode leaves a file out.
+
+    ``mode`` is a number or a column (a manifest's); so is ``root``.
+    """
     cfg = cfg or layout_for(direction)
-    return df.withColumn(name, destination(col, mode, cfg))
+    root = cfg.root if root is None else root
+    path = F.col(col)
+    file = P.file_name(col)
+    out = file if cfg.extension is None else F.concat(P.stem_of(file), F.lit(cfg.extension))
+    here = P.parent(col)
+    above = P.parent(here)
+    flat = F.coalesce(F.lit(cfg.output_root), _setting(root))
+
+    def exported(in_subfolder: Column | None) -> Column:
+        dirs, anchor = F.col("_dirs"), F.col("_anchor")
+        lead = F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
+        export_dir = F.concat(lead, F.concat_ws("/", F.slice(dirs, F.lit(1), anchor + 1)))
+        # Exactly one level below the marker is dropped.
+        kept = F.slice(dirs, anchor + 3, F.greatest(F.size(dirs) - anchor - 2, F.lit(0)))
+        dest = F.concat_ws("/", F.concat(
+            F.array(export_dir, F.lit(cfg.export_folder)), kept, F.array(out)))
+        inside = anchor.isNotNull()
+        return F.when(inside if in_subfolder is None else inside & in_subfolder, dest)
+
+    def in_subfolder() -> Column | None:
+        if not cfg.export_subfolder:
+            return None
+        below = F.coalesce(F.get(F.col("_dirs"), F.col("_anchor") + 1), file)
+        return F.lower(below) == cfg.export_subfolder.lower()
+
+    rules = {
+        0: lambda: P.join_path(F.coalesce(F.lit(cfg.output_root), here), out),
+        1: lambda: P.join_path(here, F.lit(cfg.beside_folder), out),
+        2: lambda: P.join_path(F.regexp_replace(flat, "/$", ""), out),
+        3: lambda: P.join_path(here, F.lit(cfg.sub_folder), out),
+        4: lambda: P.join_path(
+            above, P.replace_token(P.file_name(here), cfg.token_from, cfg.token_to), out),
+        5: lambda: P.join_path(above, F.lit(cfg.sibling_folder), out),
+        6: lambda: exported(None),
+        7: lambda: exported(in_subfolder()),
+        8: lambda: P.join_path(here, out),
+    }
+    staged = (
+        _with_anchor(df, col, root, cfg.export_marker, cfg.fold_case) if _needs_anchor(mode) else df)
+    if isinstance(mode, int):
+        dest = rules[mode]()
+    else:
+        chosen = _mode(mode)
+        dest = F.when(chosen == 0, rules[0]())
+        for number in range(1, 9):
+            dest = dest.when(chosen == number, rules[number]())
+    return staged.withColumn(name, dest).drop("_dirs", "_anchor")
 
 
 def rename_outputs(df: DataFrame, rename_from, rename_to, col: str = "dest") -> DataFrame:
@@ -126,39 +139,38 @@ def leftovers(df: DataFrame, col: str = "path") -> DataFrame:
     )
 
 
-def selection_reason(path, mode, cfg: LayoutConfig) -> Column:
-    """S10 as a column: 'selected', or why the mode leaves the file out."""
+def with_selection(df: DataFrame, mode, cfg: LayoutConfig, col: str = "path",
+                   name: str = "selection") -> DataFrame:
+    """S10: 'selected', or why the mode leaves a file out."""
+    staged = _with_anchor(df, col, cfg.root, cfg.export_marker, cfg.fold_case)
     mode = _mode(mode)
-    dirs = P.folder_parts(path)
-    below = P.below_root(dirs, cfg.root, cfg.fold_case)
-    base = P.segments(F.lit(cfg.root))
-    under = F.slice(dirs, F.lit(1), F.size(base)) == base
-    anchor = P.marker_anchor(dirs, cfg.root, cfg.export_marker, cfg.fold_case)
-    under_marker = F.slice(dirs, anchor + 2, F.greatest(F.size(dirs) - anchor - 1, F.lit(0)))
+    dirs, anchor = F.col("_dirs"), F.col("_anchor")
+    below_marker = F.slice(dirs, anchor + 2, F.greatest(F.size(dirs) - anchor - 1, F.lit(0)))
     requested = F.when(mode == 7, F.lit(cfg.export_subfolder))
     wanted = cfg.export_subfolder.lower()
     in_subfolder = F.lit(True) if not wanted else F.coalesce(
         F.lower(F.get(dirs, anchor + 1)) == wanted, F.lit(False))
     other = P.is_tool_output(
-        under_marker, cfg.skip_names, cfg.skip_suffixes, cfg.master_folders, requested)
-    excluded = P.is_excluded(dirs, cfg.exclude_folders, cfg.root)
-    return (
-        F.when(~under, F.lit("outside root"))
-        .when(excluded, F.lit("excluded folder"))
-        .when(mode.isin(0, 1) & (F.size(below) > 0), F.lit("below the flat folder"))
+        below_marker, cfg.skip_names, cfg.skip_suffixes, cfg.master_folders, requested)
+    depth = len([p for p in cfg.root.split("/") if p])
+    reason = (
+        F.when(~P.under_root(dirs, cfg.root, cfg.fold_case), F.lit("outside root"))
+        .when(P.is_excluded(dirs, cfg.exclude_folders, cfg.root), F.lit("excluded folder"))
+        .when(mode.isin(0, 1) & (F.size(dirs) > depth), F.lit("below the flat folder"))
         .when(mode.isin(6, 7) & anchor.isNull(), F.lit("outside marker"))
         .when(mode.isin(6, 7) & other, F.lit("other tool's folder"))
         .when((mode == 7) & ~in_subfolder, F.lit("outside subfolder"))
         .otherwise(F.lit("selected")))
+    return staged.withColumn(name, reason).drop("_dirs", "_anchor")
 
 
 def select_sources(df: DataFrame, mode, cfg: LayoutConfig, col: str = "path") -> DataFrame:
     """The files a mode takes."""
-    return df.filter(selection_reason(col, mode, cfg) == "selected")
+    return with_selection(df, mode, cfg, col, "_sel").filter("_sel = 'selected'").drop("_sel")
 
 
 def selection_counts(df: DataFrame, mode, cfg: LayoutConfig, col: str = "path") -> DataFrame:
     """How many files were taken and left out, by reason."""
     return (
-        df.select(selection_reason(col, mode, cfg).alias("reason"))
+        with_selection(df, mode, cfg, col, "reason")
         .groupBy("reason").agg(F.count(F.lit(1)).alias("files")))

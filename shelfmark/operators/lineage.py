@@ -19,7 +19,7 @@ def reconcile_gen(df: DataFrame, text: str = "text") -> DataFrame:
     return (
         df.withColumn("stored", R.stored_gen(text))
         .withColumn("counted", R.counted_gen(text))
-        .withColumn("gen", R.reconciled_gen(text)))
+        .withColumn("gen", F.greatest("stored", "counted")))
 
 
 def reconcile_gen_rows(chain: DataFrame, keys: Sequence[str], d: str = "d",
@@ -36,15 +36,15 @@ def reconcile_gen_rows(chain: DataFrame, keys: Sequence[str], d: str = "d",
 def merge_lineage(df: DataFrame, description="description", software="software",
                   history="history") -> DataFrame:
     """Up to three records of one asset folded into one history."""
-    merged = R.merge_chains(F.col(description), F.col(software), F.col(history))
+    staged = R.with_merged_chain(df, description, software, history, "_merged")
     stored = R.merged_stored_gen(F.col(description), F.col(software), F.col(history))
     counted = F.size(F.filter(
-        merged, lambda x: F.coalesce(x["d"].try_cast("double") > 0, F.lit(False))))
-    text = F.array_join(F.transform(
-        merged, lambda x: F.concat(F.lit("cjxl d="), x["d"], F.lit(" e="), x["e"])), " | ")
+        "_merged", lambda x: F.coalesce(x["d"].try_cast("double") > 0, F.lit(False))))
+    text = F.array_join(F.transform("_merged", lambda x: F.concat(
+        F.lit("cjxl d="), x["d"], F.lit(" e="), x["e"])), " | ")
     return (
-        df.withColumn("merged", text).withColumn("entries", F.size(merged))
-        .withColumn("gen", F.greatest(stored, counted)))
+        staged.withColumn("merged", text).withColumn("entries", F.size("_merged"))
+        .withColumn("gen", F.greatest(stored, counted)).drop("_merged"))
 
 
 def latest_record(history: DataFrame, keys: Sequence[str], pos: str = "pos",
@@ -54,10 +54,10 @@ def latest_record(history: DataFrame, keys: Sequence[str], pos: str = "pos",
     A deliberate "no encode record" entry stops the walk; entries that say
     nothing are passed over.
     """
-    settles = R.is_no_record(text) | (F.size(R.machine_blocks(text)) > 0)
-    newest = history.groupBy(*keys).agg(
-        F.max_by(text, F.when(settles, F.col(pos))).alias("_text"),
-        F.max(F.when(settles, F.col(pos))).alias("record_pos"))
+    settles = R.is_no_record(text) | F.col(text).rlike(fv.BLOCK_PATTERN)
+    rated = history.withColumn("_pos", F.when(settles, F.col(pos)))
+    newest = rated.groupBy(*keys).agg(
+        F.max_by(text, "_pos").alias("_text"), F.max("_pos").alias("record_pos"))
     known = F.col("record_pos").isNotNull() & ~R.is_no_record("_text")
     return newest.select(
         *keys, "record_pos",

@@ -414,15 +414,18 @@ def encode_facts(df: DataFrame, description: str, software: str, history: str) -
 
     ``history`` is an array column.  Adds ``recorded_d``, ``recorded_e``, ``gen``.
     """
-    newest = R.history_record(F.col(history))
-    chain = F.transform(
-        R.merge_chains(F.col(description), F.col(software), newest),
-        lambda x: F.struct(x["d"].try_cast("double").alias("d"), x["e"].try_cast("int").alias("e")))
-    counted = F.size(F.filter(chain, lambda x: F.coalesce(x["d"] > 0, F.lit(False))))
+    staged = (
+        df.withColumn("_entry", R.settling_entry(F.col(history)))
+        .withColumn("_record", R.record_or_stop("_entry")))
+    staged = R.with_merged_chain(staged, description, software, "_record", "_chain")
     # The newest entry is the record; a malformed one makes it unknown.
-    last = F.get(F.reverse(chain), F.lit(0))
+    staged = staged.withColumn("_chain", F.transform("_chain", lambda x: F.struct(
+        x["d"].try_cast("double").alias("d"), x["e"].try_cast("int").alias("e")))).withColumn(
+            "_last", F.try_element_at("_chain", F.lit(-1)))
+    counted = F.size(F.filter("_chain", lambda x: F.coalesce(x["d"] > 0, F.lit(False))))
     return (
-        df.withColumn("recorded_d", last["d"])
-        .withColumn("recorded_e", F.when(last["d"].isNotNull(), last["e"]))
+        staged.withColumn("recorded_d", F.col("_last.d"))
+        .withColumn("recorded_e", F.when(F.col("_last.d").isNotNull(), F.col("_last.e")))
         .withColumn("gen", F.greatest(
-            R.merged_stored_gen(F.col(description), F.col(software), newest), counted)))
+            R.merged_stored_gen(F.col(description), F.col(software), F.col("_record")), counted))
+        .drop("_entry", "_record", "_chain", "_last"))

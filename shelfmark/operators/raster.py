@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark import fixed_values as fv
 from shelfmark.functions.scalars import curve_forward, curve_inverse, psnr
@@ -37,7 +38,7 @@ def tile_rasters(df: DataFrame, block_rows: int = fv.TILE_ROWS, payload: str = "
         F.when(~F.col("_whole"), F.lit("length does not match the shape")).alias("reject"))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _unpack(raw: pd.Series, depth: pd.Series) -> pd.Series:
     return pd.Series([
         None if b is None else np.frombuffer(b, dtype=">u2" if d > 8 else "u1").astype(np.int32)

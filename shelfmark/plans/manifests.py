@@ -24,7 +24,7 @@ def planned_outputs(rows: DataFrame, assets: DataFrame, direction: str,
     sources = rows.select("row_no", F.col("Source").alias("_root"))
     joined = skew.attach(expanded, sources, ["row_no"])
     return (
-        joined.withColumn("dest", layout.destination("path", F.col("mode"), where, F.col("_root")))
+        layout.resolve_destination(joined, F.col("mode"), cfg=where, root=F.col("_root"))
         .filter(F.col("dest").isNotNull()).select("row_no", "path", "dest"))
 
 

@@ -355,4 +355,5 @@ def history_arrays(s):
     # An older entry with a record must not come back past a deliberate stop.
     old = F.when(F.col("history").contains("no encode"), "x: from a/b to c/d | gen=4 | cjxl d=1 e=7")
     values = F.array_compact(F.array(old, F.col("history"), F.lit("editor")))
-    return s.v_records.select(*ROWS, R.history_record(values).alias("record"))
+    staged = s.v_records.select(*ROWS, R.settling_entry(values).alias("entry"))
+    return staged.select(*ROWS, R.record_or_stop("entry").alias("record"))
