@@ -38,17 +38,9 @@ def _with_anchor(df: DataFrame, col: str, root, marker, fold_case: bool) -> Data
         "_anchor", P.marker_anchor(F.col("_dirs"), root, marker, fold_case))
 
 
-def resolve_destination(df: DataFrame, mode, direction: str = "archive",
-                        cfg: LayoutConfig | None = None, col: str = "path", name: str = "dest",
-                        root=None) -> DataFrame:
-    """P5: add the planned destination; NULL where the mode leaves a file out.
-
-    ``mode`` is a number or a column (a manifest's); so is ``root``.
-    """
-    cfg = cfg or layout_for(direction)
-    root = cfg.root if root is None else root
-    path = F.col(col)
-    file = P.file_name(col)
+def _destination(mode, cfg: LayoutConfig, col: str, root) -> Column:
+    """P5 over staged ``_dirs`` and ``_anchor`` columns."""
+    path, file = F.col(col), P.file_name(col)
     out = file if cfg.extension is None else F.concat(P.stem_of(file), F.lit(cfg.extension))
     here = P.parent(col)
     above = P.parent(here)
@@ -83,16 +75,44 @@ def resolve_destination(df: DataFrame, mode, direction: str = "archive",
         7: lambda: exported(in_subfolder()),
         8: lambda: P.join_path(here, out),
     }
+    if isinstance(mode, int):
+        return rules[mode]()
+    chosen = _mode(mode)
+    dest = F.when(chosen == 0, rules[0]())
+    for number in range(1, 9):
+        dest = dest.when(chosen == number, rules[number]())
+    return dest
+
+
+def resolve_destination(df: DataFrame, mode, direction: str = "archive",
+                        cfg: LayoutConfig | None = None, col: str = "path", name: str = "dest",
+                        root=None) -> DataFrame:
+    """P5: add the planned destination; NULL where the mode leaves a file out.
+
+    ``mode`` is a number or a column (a manifest's); so is ``root``.
+    """
+    cfg = cfg or layout_for(direction)
+    root = cfg.root if root is None else root
     staged = (
         _with_anchor(df, col, root, cfg.export_marker, cfg.fold_case) if _needs_anchor(mode) else df)
-    if isinstance(mode, int):
-        dest = rules[mode]()
-    else:
-        chosen = _mode(mode)
-        dest = F.when(chosen == 0, rules[0]())
-        for number in range(1, 9):
-            dest = dest.when(chosen == number, rules[number]())
-    return staged.withColumn(name, dest).drop("_dirs", "_anchor")
+    return staged.withColumn(name, _destination(mode, cfg, col, root)).drop("_dirs", "_anchor")
+
+
+def planned_destinations(df: DataFrame, mode, cfg: LayoutConfig, col: str = "path",
+                         name: str = "dest", root=None, select: bool = False) -> DataFrame:
+    """P5 with the files the mode leaves out gone (``select``: S10's choice too).
+
+    The destination comes out of a generator, so it is computed once per file:
+    as an ordinary column, the "is not null" filter would be pushed below it
+    and repeat the whole rule.
+    """
+    root = cfg.root if root is None else root
+    staged = _with_anchor(df, col, root, cfg.export_marker, cfg.fold_case)
+    dest = _destination(mode, cfg, col, root)
+    if select:
+        dest = F.when(_selection(mode, cfg) == "selected", dest)
+    columns = [c for c in df.columns if c != name]
+    return staged.select(*columns, F.explode(F.array_compact(F.array(dest))).alias(name))
 
 
 def rename_outputs(df: DataFrame, rename_from, rename_to, col: str = "dest") -> DataFrame:
@@ -139,10 +159,8 @@ def leftovers(df: DataFrame, col: str = "path") -> DataFrame:
     )
 
 
-def with_selection(df: DataFrame, mode, cfg: LayoutConfig, col: str = "path",
-                   name: str = "selection") -> DataFrame:
-    """S10: 'selected', or why the mode leaves a file out."""
-    staged = _with_anchor(df, col, cfg.root, cfg.export_marker, cfg.fold_case)
+def _selection(mode, cfg: LayoutConfig) -> Column:
+    """S10 over staged ``_dirs`` and ``_anchor`` columns."""
     mode = _mode(mode)
     dirs, anchor = F.col("_dirs"), F.col("_anchor")
     below_marker = F.slice(dirs, anchor + 2, F.greatest(F.size(dirs) - anchor - 1, F.lit(0)))
@@ -153,7 +171,7 @@ def with_selection(df: DataFrame, mode, cfg: LayoutConfig, col: str = "path",
     other = P.is_tool_output(
         below_marker, cfg.skip_names, cfg.skip_suffixes, cfg.master_folders, requested)
     depth = len([p for p in cfg.root.split("/") if p])
-    reason = (
+    return (
         F.when(~P.under_root(dirs, cfg.root, cfg.fold_case), F.lit("outside root"))
         .when(P.is_excluded(dirs, cfg.exclude_folders, cfg.root), F.lit("excluded folder"))
         .when(mode.isin(0, 1) & (F.size(dirs) > depth), F.lit("below the flat folder"))
@@ -161,7 +179,13 @@ def with_selection(df: DataFrame, mode, cfg: LayoutConfig, col: str = "path",
         .when(mode.isin(6, 7) & other, F.lit("other tool's folder"))
         .when((mode == 7) & ~in_subfolder, F.lit("outside subfolder"))
         .otherwise(F.lit("selected")))
-    return staged.withColumn(name, reason).drop("_dirs", "_anchor")
+
+
+def with_selection(df: DataFrame, mode, cfg: LayoutConfig, col: str = "path",
+                   name: str = "selection") -> DataFrame:
+    """S10: 'selected', or why the mode leaves a file out."""
+    staged = _with_anchor(df, col, cfg.root, cfg.export_marker, cfg.fold_case)
+    return staged.withColumn(name, _selection(mode, cfg)).drop("_dirs", "_anchor")
 
 
 def select_sources(df: DataFrame, mode, cfg: LayoutConfig, col: str = "path") -> DataFrame:

@@ -23,9 +23,8 @@ def planned_outputs(rows: DataFrame, assets: DataFrame, direction: str,
     expanded = manifest.expand_manifest(rows, assets)
     sources = rows.select("row_no", F.col("Source").alias("_root"))
     joined = skew.attach(expanded, sources, ["row_no"])
-    return (
-        layout.resolve_destination(joined, F.col("mode"), cfg=where, root=F.col("_root"))
-        .filter(F.col("dest").isNotNull()).select("row_no", "path", "dest"))
+    return layout.planned_destinations(
+        joined, F.col("mode"), where, root=F.col("_root")).select("row_no", "path", "dest")
 
 
 def cross_row_collisions(plan: DataFrame) -> DataFrame:

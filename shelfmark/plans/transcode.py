@@ -17,14 +17,14 @@ def _route_plan(routed: DataFrame, routes: tuple[str, ...], direction: str, mode
     picked = routed.filter(F.col("route").isin(*routes)).withColumn("direction", F.lit(direction))
     if direction == "encode":
         picked = picked.filter(~P.is_excluded(P.folder_parts("path"), where.skip_names, root))
-    planned = layout.resolve_destination(picked, mode, direction, where)
+    planned = layout.planned_destinations(picked, mode, where)
     if rename is not None:
         # A bit-exact recovery keeps the original name.
         convert = F.col("route").isin("convert", "decode")
         renamed = P.join_path(P.parent("dest"), P.apply_rename(P.file_name("dest"), *rename))
         planned = planned.withColumn(
             "dest", F.when(convert, renamed).otherwise(F.col("dest")))
-    return planned.filter(F.col("dest").isNotNull())
+    return planned
 
 
 def plan_transcode(assets: DataFrame, boxes: DataFrame, existing: DataFrame, journal: DataFrame,

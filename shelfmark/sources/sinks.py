@@ -40,12 +40,17 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_plan(df: DataFrame, path: str, dest: str = "dest") -> None:
+def write_plan(df: DataFrame, path: str, dest: str = "dest", shards: int = 64) -> None:
     """A plan in Parquet, laid out by destination folder.
 
-    The rebalance hint lets the adaptive planner split a folder most outputs
-    land in and merge the many small ones, so files stay of a useful size.
+    A library has far more folders than a table should have directories, so
+    folders are hashed to a fixed number of shards and files sorted by folder:
+    a filter on ``dest_dir`` skips row groups, one on ``dest_shard`` files.
+    The rebalance hint splits a shard one hot folder fills and merges small
+    ones.
     """
     (df.withColumn("dest_dir", P.parent(dest))
-        .hint("rebalance", "dest_dir")
-        .write.mode("overwrite").partitionBy("dest_dir").parquet(path))
+        .withColumn("dest_shard", F.pmod(F.xxhash64("dest_dir"), F.lit(shards)).cast("int"))
+        .hint("rebalance", "dest_shard")
+        .sortWithinPartitions("dest_shard", "dest_dir")
+        .write.mode("overwrite").partitionBy("dest_shard").parquet(path))

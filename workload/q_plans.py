@@ -55,8 +55,10 @@ def plan_archive(s):
         "path", "page", "is_thumb", "dest", "kind", "distance", "collides", "sync", "verdict")
 
 
-@query("archive_refused", "D1 A1", """
-    SELECT CAST(0 AS BIGINT) AS collisions, CAST(0 AS BIGINT) AS colliding_sources, FALSE AS refused FROM orders LIMIT 1""")
+@query("archive_refused", "D1 A1", f"""
+    WITH {FACTS}, planned AS (WITH {ARCHIVE}), {EXISTING}
+    SELECT count(*) AS collisions, CAST(COALESCE(sum(n), 0) AS BIGINT) AS colliding_sources, count(*) > 0 AS refused
+    FROM (SELECT dest, count(*) AS n FROM e GROUP BY dest HAVING count(*) > 1)""")
 def archive_refused(s):
     return archive.archive_refused(_archive(s))
 

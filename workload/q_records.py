@@ -329,7 +329,7 @@ def merge_lineage(s):
 
 
 @query("latest_record", "W3", f"""
-    WITH h AS (SELECT l_orderkey, l_linenumber * 100000000 + l_partkey AS pos, history,
+    WITH h AS (SELECT l_orderkey, l_linenumber * 1000000000000000 + l_partkey * 100000000 + CAST(floor(l_extendedprice * 100) AS BIGINT) AS pos, history,
         regexp_extract_all(history, '{BLOCK}') AS blocks FROM v_records),
     r AS (SELECT *, contains(history, 'no encode record') AS stops,
         row_number() OVER (PARTITION BY l_orderkey
@@ -340,8 +340,8 @@ def merge_lineage(s):
     FROM r WHERE rn = 1""")
 def latest_record(s):
     history = s.v_records.select(
-        "l_orderkey", (F.col("l_linenumber") * F.lit(100000000).cast("bigint") + F.col("l_partkey"))
-        .alias("pos"), F.col("history").alias("text"))
+        "l_orderkey", (F.col("l_linenumber") * F.lit(10 ** 15) + F.col("l_partkey") * F.lit(10 ** 8)
+                       + F.floor(F.col("l_extendedprice") * 100)).alias("pos"), F.col("history").alias("text"))
     return lineage.latest_record(history, ["l_orderkey"]).select(
         "l_orderkey", F.coalesce("record_pos", F.lit(-1)).alias("record_pos"), "record")
 
