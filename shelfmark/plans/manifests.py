@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark import skew
 from shelfmark.config import LayoutConfig, layout_for
 from shelfmark.operators import layout, manifest
+from shelfmark.session import materialise
 
 # --- fixed values: direction of a manifest -> layout of its outputs -----------------
 LAYOUT_OF = {
@@ -27,12 +28,26 @@ def planned_outputs(rows: DataFrame, assets: DataFrame, direction: str,
         joined, F.col("mode"), where, root=F.col("_root")).select("row_no", "path", "dest")
 
 
-def cross_row_collisions(plan: DataFrame) -> DataFrame:
-    """Destinations written by more than one manifest row, one line each."""
+def distinct_runs(rows: DataFrame) -> DataFrame:
+    """Rows that would do the same work, as one: equal Source and mode.
+
+    Keeps the two lowest row numbers and the highest, which is all the
+    cross-row checks name; many rows sharing a Source are expanded once.
+    """
+    keyed = rows.select("row_no", "Source", "Mode")
+    two = skew.top_rows(keyed, ["Source", "Mode"], [F.col("row_no")], 2).groupBy(
+        "Source", "Mode").agg(F.min("row_no").alias("first"), F.max("row_no").alias("second"))
+    last = keyed.groupBy("Source", "Mode").agg(F.max("row_no").alias("last"))
+    return two.join(last, ["Source", "Mode"]).withColumn("row_no", F.col("first"))
+
+
+def cross_row_collisions(outputs: DataFrame) -> DataFrame:
+    """Destinations written by more than one manifest row, one line each.
+
+    ``outputs``: dest with the first and last row number of its runs.
+    """
     return (
-        plan.groupBy("dest").agg(
-            F.min("row_no").alias("row_no"), F.max("row_no").alias("_other"),
-            F.count(F.lit(1)).alias("writers"))
+        outputs.groupBy("dest").agg(F.min("first").alias("row_no"), F.max("last").alias("_other"))
         .filter(F.col("row_no") != F.col("_other"))
         .select("row_no", F.concat_ws(
             " ", "dest", F.lit("also row"), F.col("_other").cast("string")).alias("detail")))
@@ -41,15 +56,20 @@ def cross_row_collisions(plan: DataFrame) -> DataFrame:
 def check_manifest(rows: DataFrame, assets: DataFrame, direction: str, deletes: bool = False,
                    where: LayoutConfig | None = None) -> DataFrame:
     """One row per finding (check, row_no, detail); any finding refuses the run."""
-    plan = planned_outputs(rows, assets, direction, where)
+    runs = materialise(distinct_runs(rows))
+    # Outputs are read by two checks; runs are few, their outputs are many.
+    outputs = materialise(skew.attach(
+        planned_outputs(runs, assets, direction, where),
+        runs.select("row_no", "first", "second", "last"), ["row_no"]))
+    writers = outputs.select("dest", F.explode(F.array("first", "second")).alias("row_no"))
     errors = manifest.validate_manifest(rows, direction, deletes).select(
         F.lit("cell").alias("check"), "row_no", F.concat_ws(": ", "column", "message").alias("detail"))
     overlaps = manifest.source_overlaps(rows).select(
         F.lit("source overlap").alias("check"), "row_no",
         F.concat_ws(" ", "kind", F.col("other_row").cast("string")).alias("detail"))
-    collisions = cross_row_collisions(plan).select(
+    collisions = cross_row_collisions(outputs).select(
         F.lit("duplicate output").alias("check"), "row_no", "detail")
-    feeds = manifest.output_feeds_source(rows, plan).select(
+    feeds = manifest.output_feeds_source(rows, writers).select(
         F.lit("output feeds source").alias("check"), "row_no",
         F.col("writer_row").cast("string").alias("detail"))
     return errors.unionByName(overlaps).unionByName(collisions).unionByName(feeds)
