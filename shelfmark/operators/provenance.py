@@ -73,17 +73,9 @@ def guard_verdict(mode: str, strict, guard, has_jbrd: Column, broken: Column) ->
     return F.when(strict, tight).otherwise(plain)
 
 
-def overwrite_guard(plan: DataFrame, meta: DataFrame, boxes: DataFrame, mode: str = "path",
-                    strict: bool | Column = False, guard: bool = True) -> DataFrame:
-    """May a planned write land on what exists at its destination?
-
-    ``plan``: dest, path_id, content_id, sync.  ``meta``: dest, src, srcsum,
-    read_ok.  ``boxes``: dest, has_jbrd, broken.  Rows that write nothing are
-    only judged by the strict form, which certifies every existing output.
-    """
-    joined = (
-        plan.join(meta.select("dest", "src", "srcsum", "read_ok"), "dest", "left")
-        .join(boxes.select("dest", "has_jbrd", "broken"), "dest", "left"))
+def judge_overwrites(joined: DataFrame, mode: str = "path", strict: bool | Column = False,
+                     guard: bool = True) -> DataFrame:
+    """J6 over a plan already joined to its outputs' records on the destination."""
     strict_col = F.lit(strict) if isinstance(strict, bool) else strict
     judged = (F.col("sync") != "write") & (strict_col | (F.col("sync") == "overwrite"))
     verdict = guard_verdict(
@@ -91,32 +83,59 @@ def overwrite_guard(plan: DataFrame, meta: DataFrame, boxes: DataFrame, mode: st
         F.coalesce(F.col("broken"), F.lit(False)))
     both = F.split(F.when(judged, verdict).otherwise(F.lit("allow|")), r"\|")
     return (
-        joined.withColumn("verdict", F.get(both, F.lit(0)))
-        .withColumn("reason", F.nullif(F.get(both, F.lit(1)), F.lit(""))))
+        joined.withColumn("_both", both)
+        .withColumn("verdict", F.get("_both", F.lit(0)))
+        .withColumn("reason", F.nullif(F.get("_both", F.lit(1)), F.lit("")))
+        .drop("_both"))
 
 
-def derivative_guard(plan: DataFrame, labels: DataFrame, wanted, check_encode: bool = True,
-                     lower_effort: bool = False, by_quality: bool = False) -> DataFrame:
-    """A derived copy only ever replaces a derived copy.
+def overwrite_guard(plan: DataFrame, meta: DataFrame, boxes: DataFrame | None = None,
+                    mode: str = "path", strict: bool | Column = False,
+                    guard: bool = True) -> DataFrame:
+    """May a planned write land on what exists at its destination?
 
-    ``labels``: dest, derived, read_ok for existing outputs.
+    ``plan``: dest, path_id, content_id, sync.  ``meta``: dest, src, srcsum,
+    read_ok.  ``boxes``: dest, has_jbrd, broken; left out when ``meta`` has
+    them.  Rows that write nothing are only judged by the strict form, which
+    certifies every existing output.
     """
+    if boxes is None:
+        joined = plan.join(
+            meta.select("dest", "src", "srcsum", "read_ok", "has_jbrd", "broken"), "dest", "left")
+    else:
+        joined = (
+            plan.join(meta.select("dest", "src", "srcsum", "read_ok"), "dest", "left")
+            .join(boxes.select("dest", "has_jbrd", "broken"), "dest", "left"))
+    return judge_overwrites(joined, mode, strict, guard)
+
+
+def judge_derivatives(joined: DataFrame, wanted, check_encode: bool = True,
+                      lower_effort: bool = False, by_quality: bool = False) -> DataFrame:
+    """J7 over a plan already joined to its outputs' labels (derived, read_ok)."""
     wanted = F.lit(wanted) if isinstance(wanted, str) else wanted
-    have = labels.select("dest", "derived", F.col("read_ok").alias("_read"),
-                         F.lit(True).alias("_found"))
-    joined = plan.join(have, "dest", "left")
-    found = F.coalesce(F.col("_found"), F.lit(False)) & (F.col("sync") != "write")
-    foreign = ~F.coalesce(F.col("_read"), F.lit(False)) | F.col("derived").isNull()
+    found = F.col("sync") != "write"
+    foreign = ~F.coalesce(F.col("read_ok"), F.lit(False)) | F.col("derived").isNull()
     why = (
         F.when(quality_recipe_changed("derived", wanted), F.lit("derivative recipe changed"))
         if by_quality else rederive_reason("derived", wanted, check_encode, lower_effort))
     return (
-        joined.withColumn("verdict", F.when(found & foreign, F.lit("refuse"))
-                          .when(found & why.isNotNull(), F.lit("rederive"))
-                          .otherwise(F.col("sync")))
+        joined.withColumn("_why", why)
+        .withColumn("verdict", F.when(found & foreign, F.lit("refuse"))
+                    .when(found & F.col("_why").isNotNull(), F.lit("rederive"))
+                    .otherwise(F.col("sync")))
         .withColumn("reason", F.when(found & foreign, F.lit("not a derived copy"))
-                    .when(found, why))
-        .drop("_read", "_found"))
+                    .when(found, F.col("_why")))
+        .drop("_why"))
+
+
+def derivative_guard(plan: DataFrame, labels: DataFrame, wanted, check_encode: bool = True,
+                     lower_effort: bool = False, by_quality: bool = False) -> DataFrame:
+    """A derived copy only ever replaces a derived copy.
+
+    ``labels``: dest, derived, read_ok for existing outputs.
+    """
+    joined = plan.join(labels.select("dest", "derived", "read_ok"), "dest", "left")
+    return judge_derivatives(joined, wanted, check_encode, lower_effort, by_quality).drop("read_ok")
 
 
 def restamp_moved(plan: DataFrame, meta: DataFrame) -> DataFrame:
