@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from shelfmark import fixed_values as fv
 from shelfmark import skew
 from shelfmark.config import DeriveConfig, PolicyConfig
-from shelfmark.functions import paths as P
 from shelfmark.functions import records as R
 from shelfmark.functions import tokens as T
 
