@@ -215,3 +215,109 @@ def bucket_bounds(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     """Where each bucket's keys start among sorted 64-bit keys; buckets split the key space evenly."""
     edges = np.array([(i << 64) // n_buckets for i in range(1, n_buckets)], dtype=np.uint64)
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)])).astype(np.int64)
+
+
+def bucket_count(units: float, each: int = 1 << 20) -> int:
+    return max(1, -(-int(units) // each))
+
+
+def asked(chunk: int, keys: np.ndarray, n_buckets: int, width: int) -> dict[str, list]:
+    """Requests of a chunk: its distinct keys (sorted), each bucket's in one row.
+
+    A bucket's keys lie in one range of the key space; what they share at the
+    top is left out, and so many of the next bits are kept as fit ``width`` bytes.
+    """
+    at = bucket_bounds(keys, n_buckets)
+    drop = np.uint64(max(0, 64 - (n_buckets.bit_length() - 1) - 8 * width))
+    out: dict[str, list] = {"bucket": [], "chunk": [], "keys": []}
+    for b in np.flatnonzero(np.diff(at)):
+        low = np.uint64((int(b) << 64) // n_buckets)
+        out["bucket"].append(int(b))
+        out["chunk"].append(chunk)
+        out["keys"].append(packed((keys[at[b]:at[b + 1]] - low) >> drop, width))
+    return out
+
+
+def asked_table(rows: dict[str, list]) -> pa.Table:
+    return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "chunk": pa.array(rows["chunk"], pa.int64()),
+                     "keys": pa.array(rows["keys"], pa.binary())})
+
+
+def answered(chunks: list[int], buckets: list[int], marks: list[bytes]) -> pa.Table:
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array(buckets, pa.int32()),
+                     "marks": pa.array(marks, pa.binary())})
+
+
+def held_elsewhere(width: int):
+    """Bucket side: for each key of each chunk, whether another chunk holds it as well."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        chunks, blobs = table.column("chunk").to_pylist(), table.column("keys").to_pylist()
+        keys = [unpacked(b, width) for b in blobs]
+        every = np.sort(np.concatenate(keys))
+        # Keys of one chunk may fall together when bits are left out: count holders, not entries.
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        marks = [np.packbits(_member(k, twice)).tobytes() for k in keys]
+        return answered(chunks, table.column("bucket").to_pylist(), marks)
+
+    return answer
+
+
+def held_before(width: int, last: int):
+    """Bucket side: for each key of each chunk, whether a chunk of a smaller number (capped at ``last``) holds it."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        chunks, blobs = table.column("chunk").to_pylist(), table.column("keys").to_pylist()
+        keys = [unpacked(b, width) for b in blobs]
+        every = np.concatenate(keys)
+        sizes = np.array([len(k) for k in keys])
+        place = np.repeat(np.minimum(chunks, last), sizes)
+        order = np.argsort(every, kind="stable")
+        first = np.ones(len(order), bool)
+        first[1:] = every[order][1:] != every[order][:-1]
+        least = place[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+        later = np.zeros(len(order), bool)
+        later[order] = place[order] > least
+        at = np.cumsum(sizes)[:-1]
+        marks = [np.packbits(x).tobytes() for x in np.split(later, at)]
+        return answered(chunks, table.column("bucket").to_pylist(), marks)
+
+    return answer
+
+
+def _member(keys: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Which sorted ``keys`` are among sorted ``chosen``."""
+    out = np.zeros(len(keys), bool)
+    if len(keys) and len(chosen):
+        at = np.searchsorted(chosen, keys)
+        at[at == len(chosen)] = 0
+        out = chosen[at] == keys
+    return out
+
+
+def marked(keys: np.ndarray, n_buckets: int, answers: pa.Table) -> np.ndarray:
+    """The marks that came back for a chunk's distinct keys, in their order."""
+    at, out = bucket_bounds(keys, n_buckets), np.zeros(len(keys), bool)
+    for b, blob in zip(answers.column("bucket").to_pylist(), answers.column("marks").to_pylist(), strict=True):
+        n = int(at[b + 1] - at[b])
+        out[at[b]:at[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
+    return out
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys."""
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
+def recurring(keys: np.ndarray, n_buckets: int, answers: pa.Table) -> np.ndarray:
+    """Which of a chunk's keys occur again, in the chunk or (by the answers) elsewhere."""
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    group = np.cumsum(new) - 1
+    often = np.bincount(group) > 1 if len(keys) else np.zeros(0, bool)
+    out = np.zeros(len(keys), bool)
+    out[order] = (often | marked(keys[order][new], n_buckets, answers))[group]
+    return out

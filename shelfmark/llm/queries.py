@@ -36,3 +36,5 @@ on_documents("op4_secrets", _from("secrets", "secrets"))
 on_documents("op5_quality", _from("quality", "quality"))
 on_documents("op7_mixing", _from("mixing", "mix"))
 on_documents("op8_bpe", lambda docs: _from("bpe", "digests")(docs, vocabulary_file()))
+on_documents("op9_substring", _from("substring", "substring"))
+on_documents("op6_suffixes", _from("suffixes", "repeats"))
