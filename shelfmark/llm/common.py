@@ -26,6 +26,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 #: Megabytes of text in one chunk.
 CHUNK_MB = 4
+#: Keys in one bucket.
+BUCKET_KEYS = 1 << 20
 #: Bytes of text that are looked at together inside a task.
 BLOCK = 1 << 20
 
@@ -77,15 +79,18 @@ def ascii_lower(text: Column) -> Column:
 
 # --- chunks ---------------------------------------------------------------
 
-def chunk_count(docs: DataFrame, mb: float = CHUNK_MB, name: str = "text") -> int:
-    """Chunks for this much text: grows in proportion to the input."""
-    total = docs.agg(F.sum(F.octet_length(name)).alias("n")).first()["n"] or 0
-    return max(1, -(-int(total) // int(mb * 1e6)))
+def text_bytes(docs: DataFrame, name: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(name)).alias("n")).first()["n"] or 0
+
+
+def chunk_count(total: int) -> int:
+    """Chunks for this many bytes of text: grows in proportion to the input."""
+    return max(1, -(-int(total) // int(CHUNK_MB * 1e6)))
 
 
 def dealt(docs: DataFrame, n: int, name: str = "text") -> DataFrame:
-    """``docs`` with a ``chunk`` from identity and text, spread evenly; rows of one chunk stand together."""
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", name), F.lit(n)).cast("int")).repartition("chunk")
+    """``docs`` with a ``chunk`` out of ``n``, by identity and text: hot ids and hot texts alone decide nothing."""
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", name), F.lit(n)).cast("long"))
 
 
 # --- buffers --------------------------------------------------------------
@@ -217,8 +222,9 @@ def bucket_bounds(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)])).astype(np.int64)
 
 
-def bucket_count(units: float, each: int = 1 << 20) -> int:
-    return max(1, -(-int(units) // each))
+def bucket_count(keys: float) -> int:
+    """Buckets for about this many keys."""
+    return max(1, -(-int(keys) // BUCKET_KEYS))
 
 
 def asked(chunk: int, keys: np.ndarray, n_buckets: int, width: int) -> dict[str, list]:
@@ -249,15 +255,22 @@ def answered(chunks: list[int], buckets: list[int], marks: list[bytes]) -> pa.Ta
 
 
 def held_elsewhere(width: int):
-    """Bucket side: for each key of each chunk, whether another chunk holds it as well."""
+    """Bucket side, two marks for each key of each chunk: another chunk holds it as well; this chunk is the first to hold it."""
 
     def answer(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
         chunks, blobs = table.column("chunk").to_pylist(), table.column("keys").to_pylist()
         keys = [unpacked(b, width) for b in blobs]
-        every = np.sort(np.concatenate(keys))
-        # Keys of one chunk may fall together when bits are left out: count holders, not entries.
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        marks = [np.packbits(_member(k, twice)).tobytes() for k in keys]
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = every[order][1:] != every[order][:-1]
+        group = np.cumsum(new) - 1
+        often, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        often[order] = (np.bincount(group) > 1)[group]
+        first[order] = new
+        at = np.cumsum([len(k) for k in keys])[:-1]
+        marks = [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(often, at), np.split(first, at), strict=True)]
         return answered(chunks, table.column("bucket").to_pylist(), marks)
 
     return answer
@@ -286,22 +299,13 @@ def held_before(width: int, last: int):
     return answer
 
 
-def _member(keys: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Which sorted ``keys`` are among sorted ``chosen``."""
-    out = np.zeros(len(keys), bool)
-    if len(keys) and len(chosen):
-        at = np.searchsorted(chosen, keys)
-        at[at == len(chosen)] = 0
-        out = chosen[at] == keys
-    return out
-
-
-def marked(keys: np.ndarray, n_buckets: int, answers: pa.Table) -> np.ndarray:
-    """The marks that came back for a chunk's distinct keys, in their order."""
+def marked(keys: np.ndarray, n_buckets: int, answers: pa.Table, which: int = 0) -> np.ndarray:
+    """The marks (number ``which``) that came back for a chunk's distinct keys, in their order."""
     at, out = bucket_bounds(keys, n_buckets), np.zeros(len(keys), bool)
     for b, blob in zip(answers.column("bucket").to_pylist(), answers.column("marks").to_pylist(), strict=True):
         n = int(at[b + 1] - at[b])
-        out[at[b]:at[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
+        bits = np.frombuffer(blob, np.uint8, -(-n // 8), which * -(-n // 8))
+        out[at[b]:at[b + 1]] = np.unpackbits(bits, count=n).astype(bool)
     return out
 
 
@@ -311,13 +315,14 @@ def distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
 
 
-def recurring(keys: np.ndarray, n_buckets: int, answers: pa.Table) -> np.ndarray:
-    """Which of a chunk's keys occur again, in the chunk or (by the answers) elsewhere."""
+def recurring(keys: np.ndarray, n_buckets: int, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a chunk's keys occur again, in the chunk or elsewhere, and which of them an earlier chunk holds."""
     order = np.argsort(keys, kind="stable")
     new = np.ones(len(order), bool)
     new[1:] = keys[order][1:] != keys[order][:-1]
     group = np.cumsum(new) - 1
     often = np.bincount(group) > 1 if len(keys) else np.zeros(0, bool)
-    out = np.zeros(len(keys), bool)
-    out[order] = (often | marked(keys[order][new], n_buckets, answers))[group]
-    return out
+    again, earlier = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    again[order] = (often | marked(keys[order][new], n_buckets, answers))[group]
+    earlier[order] = ~marked(keys[order][new], n_buckets, answers, 1)[group]
+    return again, earlier

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import (
-    ASKED, ANSWERED, asked, asked_table, blocks, bucket_count, buffers, chunk_count, distinct, held_before, marked, row_windows,
+    ASKED, ANSWERED, asked, asked_table, blocks, bucket_count, buffers, chunk_count, distinct, held_before, marked, row_windows, text_bytes,
     window_hashes, word_bounds, word_hashes)
 
 WINDOW = 13
@@ -67,9 +67,9 @@ def _hashes(table: pa.Table, size: int):
 def removed(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, intervals (of word numbers, end exclusive) and kept text of every row."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    total = text_bytes(docs)
     n_buckets = bucket_count(total / 6)
-    chunk, last = ranges(docs, chunk_count(docs))
+    chunk, last = ranges(docs, chunk_count(total))
     parts = docs.withColumn("chunk", chunk)
 
     def ask(table: pa.Table) -> pa.Table:

@@ -15,7 +15,8 @@ cover, so two equal strings share a pair of sample suffixes.
    strings next to each other; the alphabet's order is not needed for that.
    Long runs of open suffixes between two content-chosen anchors travel as one
    key (the fingerprint of the whole stretch): if that stretch recurs, so does
-   every string in it.  The other open suffixes travel one by one.
+   every string in it, and only the first chunk that holds it sends its suffixes
+   on behalf of all.  The other open suffixes travel one by one.
 
 Buckets split the key space evenly and grow in number with the input, so a
 task holds one bucket (about a million keys) whatever the input.  A chunk sends
@@ -37,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import (
-    _BYTE, ASKED, ANSWERED, asked, asked_table, blocks, bucket_count, buffers, chunk_count, distinct, held_elsewhere, marked,
-    mixed, powers, recurring)
+    _BYTE, ASKED, ANSWERED, asked, asked_table, blocks, bucket_count, buffers, chunk_count, dealt, distinct, held_elsewhere,
+    mixed, powers, recurring, text_bytes)
 
 SIZE = 400
 PRIME = 13
@@ -179,6 +180,14 @@ class Block:
         return x[fine], y[fine]
 
 
+def _between(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """True at the positions of some intervals, ends included."""
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, last + 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 class Chunk:
     """A chunk's documents, taken through the rounds as far as answers have come."""
 
@@ -188,34 +197,31 @@ class Chunk:
         self.keys: list[np.ndarray] = []
         come = lambda k: answers.filter(pc.equal(answers.column("round"), k))
 
-        def flags(k: int) -> list[np.ndarray]:
+        def flags(k: int) -> list[tuple[np.ndarray, np.ndarray]]:
             if not self.keys:
                 return []
-            every = recurring(np.concatenate(self.keys), plan["buckets"][k], come(k))
-            return np.split(every, np.cumsum([len(x) for x in self.keys])[:-1])
+            at = np.cumsum([len(x) for x in self.keys])[:-1]
+            again, earlier = recurring(np.concatenate(self.keys), plan["buckets"][k], come(k))
+            return list(zip(np.split(again, at), np.split(earlier, at), strict=True))
 
         sample = [b.sample() for b in self.blocks]
         self.keys = [b.prints(s, LEAD) for b, s in zip(self.blocks, sample, strict=True)]
         if rounds == 0:
             return
-        self.open = [b.open(s, r) for b, s, r in zip(self.blocks, sample, flags(0), strict=True)]
+        self.open = [b.open(s, r) for b, s, (r, _) in zip(self.blocks, sample, flags(0), strict=True)]
         self.stretches = [b.stretches(o) for b, o in zip(self.blocks, self.open, strict=True)]
         self.keys = [b.prints(x, y - x + plan["size"]) for b, (x, y) in zip(self.blocks, self.stretches, strict=True)]
         if rounds == 1:
             return
-        self.again = []
-        left = []
-        for b, o, (x, y), r in zip(self.blocks, self.open, self.stretches, flags(1), strict=True):
-            edge = np.zeros(len(b.data) + 1, np.int32)
-            np.add.at(edge, x[r], 1)
-            np.add.at(edge, y[r] + 1, -1)
-            settled = np.cumsum(edge[:-1]) > 0
-            self.again.append(settled)
-            left.append(np.flatnonzero(o & ~settled))
+        self.again, left = [], []
+        for b, o, (x, y), (r, earlier) in zip(self.blocks, self.open, self.stretches, flags(1), strict=True):
+            self.again.append(_between(x[r], y[r], len(b.data)))
+            # An earlier chunk holds these stretches as well and sends their strings for all.
+            left.append(np.flatnonzero(o & ~_between(x[earlier], y[earlier], len(b.data))))
         self.keys = [b.prints(p, plan["size"]) for b, p in zip(self.blocks, left, strict=True)]
         if rounds == 2:
             return
-        for again, p, r in zip(self.again, left, flags(2), strict=True):
+        for again, p, (r, _) in zip(self.again, left, flags(2), strict=True):
             again[p[r]] = True
 
     def distinct(self) -> np.ndarray:
@@ -234,10 +240,9 @@ def removed(docs: DataFrame, size: int = SIZE) -> DataFrame:
     if size < v + LEAD:
         raise ValueError(f"size must be {v + LEAD} or more")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = chunk_count(docs)
-    parts = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long"))
-    # About one anchor in NEAR bytes, and fewer open starts than a tenth of all.
+    total = text_bytes(docs)
+    parts = dealt(docs, chunk_count(total))
+    # About one anchor in NEAR bytes, and open starts that travel at about a tenth of all.
     plan = {"size": size, "buckets": [bucket_count(total * len(residues) / v), bucket_count(total / NEAR), bucket_count(total / 10)]}
     widths = (SAMPLE_WIDTH, WIDTH, WIDTH)
 
