@@ -38,3 +38,4 @@ on_documents("op7_mixing", _from("mixing", "mix"))
 on_documents("op8_bpe", lambda docs: _from("bpe", "digests")(docs, vocabulary_file()))
 on_documents("op9_substring", _from("substring", "substring"))
 on_documents("op6_suffixes", _from("suffixes", "repeats"))
+on_documents("op10_minmax", _from("minmax", "near_duplicates"))
