@@ -39,3 +39,4 @@ on_documents("op8_bpe", lambda docs: _from("bpe", "digests")(docs, vocabulary_fi
 on_documents("op9_substring", _from("substring", "substring"))
 on_documents("op6_suffixes", _from("suffixes", "repeats"))
 on_documents("op10_minmax", _from("minmax", "near_duplicates"))
+on_documents("op1_weighting", _from("weighting", "scores"))
