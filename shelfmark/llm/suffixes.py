@@ -192,6 +192,8 @@ class Chunk:
     """A chunk's documents, taken through the rounds as far as answers have come."""
 
     def __init__(self, table: pa.Table, answers: pa.Table | None, rounds: int, plan: dict) -> None:
+        # The same order in every round: which anchors are found depends on the neighbours.
+        self.table = table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         data, at = buffers(table.column("text"))
         self.blocks = [Block(data[at[a]:at[b]], at[a:b + 1] - at[a], plan["size"]) for a, b in blocks(at)]
         self.keys: list[np.ndarray] = []
@@ -267,8 +269,7 @@ def removed(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     def settle(table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(table, answers, 3, plan)
-        ids = table.column("doc_id").to_pylist()
-        out: dict[str, list] = {"doc_id": ids, "n_bytes": [], "n_removed": [], "spans": [], "kept": []}
+        out: dict[str, list] = {"doc_id": chunk.table.column("doc_id").to_pylist(), "n_bytes": [], "n_removed": [], "spans": [], "kept": []}
         for b, again in zip(chunk.blocks, chunk.again, strict=True):
             edge = np.zeros(len(b.data) + size + 1, np.int32)
             edge[:len(again)] += again
