@@ -42,3 +42,4 @@ on_documents("op10_minmax", _from("minmax", "near_duplicates"))
 on_documents("op1_weighting", _from("weighting", "scores"))
 QUERIES["op3_collisions"] = lambda spark, sf_dir: _from("collisions", "neighbours")(
     tune(spark).read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+on_documents("op2_licenses", _from("licenses", "matches"))
