@@ -93,6 +93,17 @@ def dealt(docs: DataFrame, n: int, name: str = "text") -> DataFrame:
     return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", name), F.lit(n)).cast("long"))
 
 
+def folded(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text", "source")) -> DataFrame:
+    """``docs`` with all columns but ``own`` set aside in one, so that no name clashes with an operator's."""
+    rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in own]
+    return docs.select(*[c for c in docs.columns if c in own], *([F.struct(*rest).alias("_rest")] if rest else []))
+
+
+def unfolded(rows: DataFrame, columns: list[str], own: tuple[str, ...] = ("doc_id", "text", "source")) -> DataFrame:
+    """The columns of documents again, in their order."""
+    return rows.select(*[F.col(c) if c in own else F.col("_rest")[c].alias(c) for c in columns])
+
+
 # --- buffers --------------------------------------------------------------
 
 def buffers(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
