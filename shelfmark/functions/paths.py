@@ -44,7 +44,20 @@ def file_name(path) -> Column:
 
 
 def parent(path) -> Column:
-    return F.regexp_replace(_col(path), r"/[^/]*$", "")
+    """The folder of a path: ``/`` for a file at the top, empty for a bare name."""
+    text = _col(path)
+    return F.when(text.rlike("^/[^/]*$"), F.lit("/")).otherwise(F.regexp_replace(text, r"(^|/)[^/]*$", ""))
+
+
+def without_scheme(uri) -> Column:
+    """The path inside its store: scheme and authority left out."""
+    return F.concat(F.lit("/"), F.regexp_replace(_col(uri), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*|^/+", ""))
+
+
+def store_of(uri) -> Column:
+    """Scheme and authority of a file's address (``s3a://bucket``), empty for local files."""
+    found = F.regexp_extract(_col(uri), r"^([A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)", 1)
+    return F.when(found.rlike("^file:"), F.lit("")).otherwise(found)
 
 
 def stem_of(name) -> Column:
@@ -237,10 +250,11 @@ def parse_page_name(stem, thumbnail_suffix: str = fv.THUMBNAIL_SUFFIX) -> Column
     tail = re.escape(thumbnail_suffix)
     thumb = text.endswith(thumbnail_suffix) if thumbnail_suffix else F.lit(False)
     bare = F.when(thumb, F.regexp_replace(text, f"{tail}$", "")).otherwise(text)
-    page = F.regexp_extract(bare, fv.PAGE_NAME_PATTERN, 1)
+    # A number no page can have is part of the name.
+    page = F.nullif(F.regexp_extract(bare, fv.PAGE_NAME_PATTERN, 1), F.lit("")).try_cast("int")
     return F.struct(
-        F.regexp_replace(bare, fv.PAGE_NAME_PATTERN, "").alias("stem"),
-        F.coalesce(F.nullif(page, F.lit("")).cast("int"), F.lit(0)).alias("page"),
+        F.when(page.isNotNull(), F.regexp_replace(bare, fv.PAGE_NAME_PATTERN, "")).otherwise(bare).alias("stem"),
+        F.coalesce(page, F.lit(0)).alias("page"),
         thumb.alias("is_thumb"))
 
 

@@ -24,6 +24,9 @@ def _mode(mode) -> Column:
     return F.lit(mode) if isinstance(mode, int) else (F.col(mode) if isinstance(mode, str) else mode)
 
 
+mode_column = _mode
+
+
 def _setting(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 

@@ -47,6 +47,12 @@ def refuse_on_collision(plan: DataFrame, dest: str = "dest", src: str = "path")
         (F.count(F.lit(1)) > 0).alias("refused"))
 
 
+def is_failure(status: str = "status") -> Column:
+    """A result that is an error: said to be, or of a status no run knows."""
+    good = [s for s in fv.COUNTED_STATUSES if s != "error"]
+    return ~F.coalesce(F.col(status).isin(*good), F.lit(False))
+
+
 def status_counts(results: DataFrame, keys: Sequence[str] = (), status: str = "status") -> DataFrame:
     """A10: totals per counted status; an unknown status is an error, never silence."""
     known = [F.count_if(F.col(status) == s).alias(s) for s in fv.COUNTED_STATUSES if s != "error"]
@@ -92,13 +98,11 @@ def notice_counts(plan: DataFrame, run_distance: float, reason: str = "scan_reas
 
 
 def notice_folders(plan: DataFrame, run_distance: float, folder: str = "folder",
-                   reason: str = "scan_reason", distance: str = "distance",
-                   limit: int = 5) -> DataFrame:
-    """Where the guessed ones are, most first."""
+                   reason: str = "scan_reason", distance: str = "distance") -> DataFrame:
+    """Where the guessed ones are; who shows them picks how many."""
     return (
         plan.filter((F.col(distance) != F.lit(float(run_distance))) & (F.col(reason) == "guessed"))
-        .groupBy(folder).agg(F.count(F.lit(1)).alias("assets"))
-        .orderBy(F.desc("assets"), folder).limit(limit))
+        .groupBy(folder).agg(F.count(F.lit(1)).alias("assets")))
 
 
 def profile_stats(df: DataFrame, mode: str = "auto", keys: Sequence[str] = ()) -> DataFrame:

@@ -71,5 +71,6 @@ def check_manifest(rows: DataFrame, assets: DataFrame, direction: str, deletes:
         F.lit("duplicate output").alias("check"), "row_no", "detail")
     feeds = manifest.output_feeds_source(rows, writers).select(
         F.lit("output feeds source").alias("check"), "row_no",
-        F.col("writer_row").cast("string").alias("detail"))
+        F.concat_ws(
+            " ", "folder", F.col("writer_row").cast("string"), F.concat(F.lit("of "), F.col("writers").cast("string"))).alias("detail"))
     return errors.unionByName(overlaps).unionByName(collisions).unionByName(feeds)

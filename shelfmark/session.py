@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -32,6 +33,19 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Folders of local sessions whose cluster names none, by application.
+_local_folders: dict[str, str] = {}
+
+
+def _half_of_memory() -> str:
+    """Half of this machine's memory for the one JVM, 16 GB at most."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError):
+        return "4g"
+    return f"{max(1, min(16, total // (2 << 30)))}g"
+
+
 def local_session(cores: str = "8", app: str = "shelfmark", **conf) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (
@@ -40,7 +54,7 @@ def local_session(cores: str = "8", app: str = "shelfmark", **conf) -> SparkSess
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", _half_of_memory())
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
     )
@@ -62,9 +76,11 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    created = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", created)
-    return created
+    # The setting can't be changed in a running session: the folder is remembered here.
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_folders[app]
 
 
 def working_path(spark: SparkSession, label: str) -> str:

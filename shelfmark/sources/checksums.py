@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths as P
 
 
+_APPEND = r"/append-(\d+)"
+
+
 def parse_journal(lines: DataFrame, text: str = "value") -> DataFrame:
     """Journal lines to (md5, name); comments, BOM and ``*name`` tolerated."""
     line = F.trim(F.regexp_replace(F.col(text), "^﻿", ""))
@@ -27,18 +32,26 @@ def last_lines(journal: DataFrame) -> DataFrame:
 def read_checksums(spark: SparkSession, glob: str) -> DataFrame:
     """Current journal lines of every folder the pattern names.
 
-    Line order inside a file is its position, which the reader keeps: the
-    block a row came from, then the row's place in it.
+    Later appends win: by the number in their folder's name, or by the file's
+    time where another tool wrote it.  Inside a file the order is the line's
+    position: the block a row came from, then the row's place in it.
     """
-    raw = spark.read.text(glob).select(
-        "value", "_metadata.file_path", "_metadata.file_block_start")
-    placed = raw.withColumn(
-        "line_no", F.struct("file_block_start", F.monotonically_increasing_id().alias("id")))
-    rows = parse_journal(placed).withColumn(
-        "folder", P.parent(F.regexp_replace("file_path", r"^[a-z]+:/+", "/")))
+    raw = spark.read.option("recursiveFileLookup", "true").text(glob).select(
+        "value", P.without_scheme("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.unix_micros("_metadata.file_modification_time").alias("written"))
+    run = F.regexp_extract("file", _APPEND, 1).try_cast("long")
+    placed = raw.withColumn("line_no", F.struct(
+        F.coalesce(run, F.col("written")).alias("run"), "file", "block", F.monotonically_increasing_id().alias("id")))
+    rows = parse_journal(placed).withColumn("folder", F.regexp_replace(P.parent("file"), _APPEND + "$", ""))
     return rows.groupBy("folder", "name").agg(F.max_by("md5", "line_no").alias("md5"))
 
 
-def write_checksums(df: DataFrame, path: str) -> None:
-    """Append journal lines as further part files, safe beside other writers."""
-    df.select(F.concat_ws("  ", "md5", "name").alias("value")).write.mode("append").text(path)
+def write_checksums(df: DataFrame, path: str, order: str = "line_no") -> None:
+    """Append journal lines, safe beside other writers.
+
+    An append is a folder of its own, named by its time in microseconds; it
+    holds one line a name, the last by ``order``, so that the order of its
+    part files never matters.
+    """
+    latest = df.groupBy("name").agg(F.max_by("md5", order).alias("md5"))
+    latest.select(F.concat_ws("  ", "md5", "name").alias("value")).write.text(f"{path}/append-{time.time_ns() // 1000}")

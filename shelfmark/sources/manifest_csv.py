@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark import skew
 from shelfmark.operators.manifest import BASE_COLUMNS, OPTION_COLUMNS
 
 _LOOKS_LIKE_HEADER = {"destination", "mode", "direction"}
@@ -13,26 +14,30 @@ _LOOKS_LIKE_HEADER = {"destination", "mode", "direction"}
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """S3: (rows, errors) of one manifest CSV.
 
-    BOM tolerated; rows with an empty or commented Source are comments; the
-    first row is a header only when it names Destination, Mode or Direction; an
+    ``row_no`` counts the lines of all files in order, blank ones left out.  BOM
+    tolerated; rows with an empty or commented Source are comments; a
+    file's first row is a header only when it names Destination, Mode or Direction; an
     unknown column, a ``..`` in a path or a fractional mode is an error row and
     refuses the file.
     """
-    lines = (
-        spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("value", F.regexp_replace("value", "^﻿", ""))
+    raw = (
+        spark.read.text(path)
+        .select(F.regexp_replace("value", "^﻿", "").alias("value"), F.col("_metadata.file_path").alias("_file"),
+                F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
         .filter(F.trim("value") != ""))
-    # One line, the header, decides how cells are named.
-    head = lines.orderBy("_at").limit(1).collect()
-    names, first_at = list(BASE_COLUMNS), -1
-    if head:
-        cells = [c.strip().strip('"') for c in head[0]["value"].split(",")]
-        if _LOOKS_LIKE_HEADER & {c.lower() for c in cells}:
-            names, first_at = cells, head[0]["_at"]
+    lines = skew.global_rank(raw, ["_file", "_block", "_id"], "_at")
+    # A manifest of several files has a header in each; one line a file.
+    cells_of = F.transform(F.split("head", ","), lambda c: F.lower(F.trim(F.regexp_replace(c, '"', ""))))
+    heads = lines.groupBy("_file").agg(F.min_by("value", "_at").alias("head"), F.min("_at").alias("_first")).withColumn(
+        "is_header", F.arrays_overlap(cells_of, F.array(*[F.lit(c) for c in sorted(_LOOKS_LIKE_HEADER)])))
+    named_by = [r["head"] for r in heads.filter("is_header").groupBy("head").agg(F.min("_first").alias("at")).orderBy("at").limit(2).collect()]
+    names = [c.strip().strip('"') for c in named_by[0].split(",")] if named_by else list(BASE_COLUMNS)
     known = {c.lower(): c for c in BASE_COLUMNS + OPTION_COLUMNS}
     unknown = [c for c in names if c.lower() not in known]
     schema = ", ".join(f"_c{i} string" for i in range(len(names)))
-    parsed = lines.filter(F.col("_at") > first_at).withColumn(
+    bodies = lines.join(heads.select("_file", "_first", "is_header"), "_file").filter(
+        ~F.col("is_header") | (F.col("_at") > F.col("_first")))
+    parsed = bodies.withColumn(
         "_row", F.from_csv("value", schema, {"mode": "PERMISSIVE"}))
     cells = [
         F.trim(F.coalesce(F.col(f"_row._c{i}"), F.lit(""))).alias(known[c.lower()])
@@ -57,6 +62,8 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         F.when(bad_mode, F.struct(F.lit("Mode").alias("column"),
                                   F.lit("mode out of range or fractional").alias("message")))))).alias("e")
     ).select("row_no", "e.column", "e.message")
+    if len(named_by) > 1:
+        unknown.append("files with different headers")
     if unknown:
         named = spark.createDataFrame(
             [(0, c, "unknown column") for c in unknown],

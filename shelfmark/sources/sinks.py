@@ -16,15 +16,14 @@ from shelfmark.operators import report
 def run_summary(results: DataFrame, keys: Sequence[str] = ("entry",),
                 limit: int = fv.SUMMARY_MAX_FAILURES, file: str = "src",
                 detail: str = "detail") -> DataFrame:
-    """One summary per run entry, failures cut at ``limit`` with a flag.
+    """One summary per run entry with its first failures, as people read it.
 
-    Totals combine on the map side and the failures are limited there too, so
-    an entry with very many failures gathers only those it lists.
+    The list is a view of ``limit`` lines with a flag, for an entry may have more
+    failures than a document should hold; ``run_failures`` has all of them.
     """
     keys = list(keys)
     totals = report.status_counts(results, keys)
-    odd = ~F.coalesce(F.col("status").isin(*fv.COUNTED_STATUSES), F.lit(False))
-    failed = results.filter((F.col("status") == "error") | odd).select(
+    failed = results.filter(report.is_failure()).select(
         *keys, F.struct(F.col(file).alias("file"), F.col(detail).alias("reason")).alias("failure"))
     shown = skew.sampled_list(failed, keys, "failure", limit, "failures")
     return totals.join(shown, keys, "left").select(
@@ -35,9 +34,18 @@ def run_summary(results: DataFrame, keys: Sequence[str] = ("entry",),
         (F.col("error") > limit).alias("failures_truncated"))
 
 
-def write_summary(df: DataFrame, path: str) -> None:
-    """Summaries as JSON lines."""
+def run_failures(results: DataFrame, keys: Sequence[str] = ("entry",), file: str = "src",
+                 detail: str = "detail") -> DataFrame:
+    """Every failure of every entry, a row each."""
+    return results.filter(report.is_failure()).select(
+        *keys, F.col(file).alias("file"), F.col(detail).alias("reason"))
+
+
+def write_summary(df: DataFrame, path: str, failures: DataFrame | None = None) -> None:
+    """Summaries as JSON lines, all failures as a table beside them."""
     df.write.mode("overwrite").json(path)
+    if failures is not None:
+        failures.write.mode("overwrite").parquet(f"{path.rstrip('/')}-failures")
 
 
 def write_plan(df: DataFrame, path: str, dest: str = "dest", shards: int = 64) -> None:

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from shelfmark.functions import paths as P
 from shelfmark.operators import sync
 from shelfmark.session import working_path
 
 
 def stream_assets(spark: SparkSession, folder: str, delay: str = "1 day",
                   pattern: str = "*", schema: str | None = None) -> DataFrame:
-    """New assets as they appear; a path seen again within the delay is dropped.
+    """New assets as they appear; the same state of a file seen again within the delay is dropped.
 
     ``schema`` given: Parquet catalogue files (path, mtime, ...); else a file
     listing whose bytes are not read.
@@ -24,26 +25,30 @@ def stream_assets(spark: SparkSession, folder: str, delay: str = "1 day",
         listed = (
             spark.readStream.format("binaryFile").option("pathGlobFilter", pattern)
             .option("recursiveFileLookup", "true").load(folder)
-            .select(F.regexp_replace("path", r"^[a-z]+:/+", "/").alias("path"),
+            .select(P.without_scheme("path").alias("path"),
                     F.col("length").alias("size"), F.col("modificationTime").alias("mtime")))
     else:
         listed = (
             spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder))
-    return once_per_path(listed, delay)
+    return once_per_state(listed, delay)
 
 
-def once_per_path(assets: DataFrame, delay: str = "1 day", key: str = "path",
-                  time: str = "mtime") -> DataFrame:
-    """Late duplicates of a path are ignored."""
-    return assets.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+def once_per_state(assets: DataFrame, delay: str = "1 day", key: str = "path",
+                   time: str = "mtime") -> DataFrame:
+    """Duplicates are ignored; a file saved again is another state and passes."""
+    state = [c for c in (key, time, "size") if c in assets.columns]
+    return assets.withWatermark(time, delay).dropDuplicatesWithinWatermark(state)
 
 
 def sync_batches(stream: DataFrame, existing: DataFrame, sink: str, overwrite: str = "smart",
                  checkpoint: str | None = None):
-    """Each micro-batch of planned rows (with dest, mtime) synced like J1."""
+    """Each micro-batch of planned rows (with dest, mtime) synced like J1.
 
-    def one(batch: DataFrame, _epoch: int) -> None:
-        sync.sync_plan(batch, existing, overwrite).write.mode("append").parquet(sink)
+    A batch is written under its epoch and replaces what an earlier try left.
+    """
+
+    def one(batch: DataFrame, epoch: int) -> None:
+        sync.sync_plan(batch, existing, overwrite).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
     spark = existing.sparkSession
     return (
@@ -75,37 +80,48 @@ def stream_sessions(results: DataFrame, gap: str = "3 minutes", key: str = "entr
 
 _GROUP_OUT = (
     "folder string, group_id string, pages int, declared int, outcome string")
-_GROUP_STATE = "seen array<int>, declared int"
+_GROUP_STATE = "seen array<int>, declared int, closed boolean"
 
 
-def _group_step(timeout_ms: int):
+def _group_step(timeout_ms: int, time: str):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         folder, group = key
-        seen, declared = (set(state.get[0]), state.get[1]) if state.exists else (set(), 0)
+        seen, declared, closed = (set(state.get[0]), *state.get[1:]) if state.exists else (set(), 0, False)
+        closed = None if closed is None else bool(closed)
         if state.hasTimedOut:
             state.remove()
+            if closed is not False:  # its outcome has been told
+                return
             yield pd.DataFrame([(folder, group, len(seen), declared, "truncated")],
                                columns=[c.split()[0] for c in _GROUP_OUT.split(", ")])
             return
+        latest = state.getCurrentWatermarkMs()
         for batch in batches:
             seen.update(int(p) for p in batch["member"])
+            latest = max(latest, int(batch[time].max().timestamp() * 1000))
             known = batch["declared"].max()
             declared = max(declared, 0 if pd.isna(known) else int(known))
-        if declared and len(seen) >= declared:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame([(folder, group, len(seen), declared, "complete")],
+        outcome = None
+        if declared and len(seen) > declared:
+            # Said once, when it becomes known; a document that was complete is corrected.
+            outcome = "overfull" if closed is not None else None
+            closed = None
+        elif declared and len(seen) == declared and not closed:
+            outcome, closed = "complete", True
+        # A closed document is remembered until its time is over, so late pages don't open it anew.
+        state.update((sorted(seen), declared, closed))
+        # Counted from the latest page: before the first batch is over, the mark has not moved yet.
+        state.setTimeoutTimestamp(latest + timeout_ms)
+        if outcome:
+            yield pd.DataFrame([(folder, group, len(seen), declared, outcome)],
                                columns=[c.split()[0] for c in _GROUP_OUT.split(", ")])
-            return
-        state.update((sorted(seen), declared))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + timeout_ms)
 
     return step
 
 
 def stream_groups(pages: DataFrame, timeout_ms: int = 3_600_000, delay: str = "10 minutes",
                   time: str = "ts") -> DataFrame:
-    """T4: a document when its declared pages are all there, or truncated on timeout.
+    """T4: a document when its declared pages are all there, truncated on timeout, overfull beyond them.
 
     ``pages``: folder, group_id, page, is_thumb, declared, ts.  Repeats of a
     page are dropped before the grouping, keyed by page, so a document whose
@@ -118,7 +134,7 @@ def stream_groups(pages: DataFrame, timeout_ms: int = 3_600_000, delay: str = "1
         .dropDuplicatesWithinWatermark(["folder", "group_id", "member"])
         .select("folder", "group_id", "member", F.col("declared").cast("int"), time))
     return unique.groupBy("folder", "group_id").applyInPandasWithState(
-        _group_step(timeout_ms), _GROUP_OUT, _GROUP_STATE, "append",
+        _group_step(timeout_ms, time), _GROUP_OUT, _GROUP_STATE, "append",
         GroupStateTimeout.EventTimeTimeout)
 
 

@@ -67,7 +67,7 @@ def test_stream_groups_complete_and_truncated(spark, tmp_path):
     day = "2024-01-01 00:00:00"
     first = [("/f", "whole", 0, False, 2, day), ("/f", "whole", 1, False, 2, day), ("/f", "whole", 1, False, 2, day),
              ("/f", "short", 0, False, 3, day)]
-    later = [("/f", "late", 0, False, 1, "2024-01-03 00:00:00")]
+    later = [("/f", "late", 0, False, 1, "2024-01-03 00:00:00"), ("/f", "whole", 2, False, 2, day)]
     cast = F.col("ts").cast("timestamp").alias("ts")
     cols = ["folder", "group_id", "page", "is_thumb", "declared", cast]
     source = str(tmp_path / "in")
@@ -76,4 +76,63 @@ def test_stream_groups_complete_and_truncated(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     spark.createDataFrame(later, text).select(*cols).coalesce(1).write.mode("append").parquet(source)
     got = sorted((r.group_id, r.pages, r.outcome) for r in run_to_table(stream_groups(stream), "t4").collect())
-    assert got == [("late", 1, "complete"), ("short", 1, "truncated"), ("whole", 2, "complete")]
+    # A page beyond the declared ones corrects the outcome; it does not open the document anew.
+    assert got == [("late", 1, "complete"), ("short", 1, "truncated"), ("whole", 2, "complete"), ("whole", 3, "overfull")]
+
+
+def test_saved_again_is_another_state_and_a_replay_changes_nothing(spark, tmp_path):
+    from shelfmark.streaming import streams
+
+    kind = "path string, dest string, mtime timestamp, size bigint"
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    at = lambda hour: F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hour))
+    rows = spark.createDataFrame([("/a", "/x/a", 5), ("/a", "/x/a", 5)], "path string, dest string, size bigint")
+    rows.withColumn("mtime", at(0)).unionByName(rows.withColumn("mtime", at(1))).select("path", "dest", "mtime", "size").write.parquet(source)
+    have = spark.createDataFrame([], "dest string, out_mtime timestamp")
+    for k in range(2):  # the second run knows nothing of the first: it replays epoch 0
+        stream = streams.stream_assets(spark, source, "30 days", "*.parquet", kind)
+        streams.sync_batches(stream, have, sink, checkpoint=str(tmp_path / f"state{k}")).awaitTermination()
+        assert spark.read.parquet(sink).count() == 2
+
+
+def test_manifest_round_trip_of_many_files(spark, tmp_path):
+    rows = spark.range(0, 40, 1, 8).select(
+        F.format_string("/lib/%03d", "id").alias("Source"), F.lit("").alias("Destination"), F.lit("3").alias("Mode"),
+        F.lit("tiff2jxl").alias("Direction"))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 6)
+    try:
+        manifest_csv.write_manifest(rows, str(tmp_path / "m"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    read, errors = manifest_csv.read_manifest(spark, str(tmp_path / "m"))
+    assert errors.count() == 0
+    got = [r.Source for r in read.orderBy("row_no").collect()]
+    assert got == [f"/lib/{k:03d}" for k in range(40)]
+
+
+def test_journal_appended_twice(spark, tmp_path):
+    kind = "name string, md5 string, line_no int"
+    for k in range(4):
+        lines = [("a.jxl", f"v{k}", 1), ("a.jxl", f"w{k}", 2)] + ([("b.jxl", "once", 1)] if k == 1 else [])
+        checksums.write_checksums(spark.createDataFrame(lines, kind).repartition(3), str(tmp_path / "j"))
+    got = {r["name"]: (r.md5, r.folder) for r in checksums.read_checksums(spark, str(tmp_path / "j")).collect()}
+    assert got == {"a.jxl": ("w3", str(tmp_path / "j")), "b.jxl": ("once", str(tmp_path / "j"))}
+
+
+def test_addresses_of_stores(spark):
+    from shelfmark.functions import paths as P
+
+    rows = [("file:/a/b.tif", "/a/b.tif", ""), ("file:///a/b.tif", "/a/b.tif", ""), ("s3a://bucket/a/b.tif", "/a/b.tif", "s3a://bucket"),
+            ("hdfs://nn:8020/x", "/x", "hdfs://nn:8020"), ("abfss://c@acct.dfs.core/x y/z", "/x y/z", "abfss://c@acct.dfs.core"), ("/a/b", "/a/b", "")]
+    df = spark.createDataFrame(rows, "uri string, path string, store string")
+    assert df.filter((P.without_scheme("uri") != F.col("path")) | (P.store_of("uri") != F.col("store"))).count() == 0
+    tops = spark.createDataFrame([("/x.tif", "/"), ("x.tif", ""), ("/a/x.tif", "/a"), ("a/x.tif", "a")], "path string, folder string")
+    assert tops.filter(P.parent("path") != F.col("folder")).count() == 0
+
+
+def test_a_number_no_page_can_have_is_part_of_the_name(spark):
+    from shelfmark.functions import paths as P
+
+    df = spark.createDataFrame([("DSC_page20240101123456",), ("DSC_page3",)], "stem string")
+    got = {r.stem: (r.p.stem, r.p.page) for r in df.withColumn("p", P.parse_page_name("stem")).collect()}
+    assert got == {"DSC_page20240101123456": ("DSC_page20240101123456", 0), "DSC_page3": ("DSC", 3)}

@@ -89,7 +89,7 @@ def notice_counts(s):
 
 @query("notice_folders", "A14", f"""
     WITH {FACTS} SELECT length(path) AS folder, count(*) AS assets FROM kinds WHERE reason = 'guessed'
-    GROUP BY 1 ORDER BY assets DESC, folder LIMIT 5""")
+    GROUP BY 1""")
 def notice_folders(s):
     rows = _targets(s).withColumn("folder", F.length("path"))
     return report.notice_folders(rows, 0.1).select(F.col("folder").cast("bigint").alias("folder"), "assets")
@@ -157,9 +157,9 @@ def size_stats_lines(s):
 @query("failure_signatures", "A25", """
     SELECT CASE WHEN value > 100 THEN 'out of memory' WHEN value > 60 THEN 'refused' WHEN value > 30 THEN 'unreadable'
         ELSE 'error' END AS signature, count(*) AS failures
-    FROM v_results WHERE status = 'error' GROUP BY 1""")
+    FROM v_results WHERE status NOT IN ('ok', 'copied', 'overwrite', 'skipped', 'aborted') GROUP BY 1""")
 def failure_signatures(s):
-    return report.failure_signatures(s.v_results.filter("status = 'error'"))
+    return report.failure_signatures(s.v_results.filter(report.is_failure()))
 
 
 @query("spread_sample", "W7", """
@@ -172,10 +172,10 @@ def spread_sample(s):
 
 @query("top_failures", "L2", """
     WITH r AS (SELECT entry, src, value, row_number() OVER (PARTITION BY entry ORDER BY value DESC, src) AS position,
-        count(*) OVER (PARTITION BY entry) AS n FROM v_results WHERE status = 'error')
+        count(*) OVER (PARTITION BY entry) AS n FROM v_results WHERE status NOT IN ('ok', 'copied', 'overwrite', 'skipped', 'aborted'))
     SELECT entry, src, value, position, greatest(n - 10, 0) AS more FROM r WHERE position <= 10""")
 def top_failures(s):
-    failed = s.v_results.filter("status = 'error'").select("entry", "src", "value")
+    failed = s.v_results.filter(report.is_failure()).select("entry", "src", "value")
     return report.top_k(failed, ["entry"], [F.desc("value"), F.col("src")], 10).select(
         "entry", "src", "value", F.col("position").cast("bigint").alias("position"), "more")
 
@@ -190,19 +190,25 @@ def largest_groups(s):
 @query("run_summary", "S7", f"""
     WITH f AS (SELECT entry, src, detail, row_number() OVER (PARTITION BY entry ORDER BY src, detail) AS rn
         FROM v_results WHERE status = 'error' OR status NOT IN {COUNTED}),
-    l AS (SELECT entry, string_agg(src || ':' || detail, '; ' ORDER BY src, detail) AS failures FROM f WHERE rn <= 20
+    l AS (SELECT entry, string_agg(src || ':' || detail, '; ' ORDER BY src, detail) AS failures FROM f WHERE rn <= 200
         GROUP BY entry),
     t AS (SELECT entry, count(*) FILTER (status IN ('ok', 'copied')) AS ok,
         count(*) FILTER (status = 'overwrite') AS overwritten, count(*) FILTER (status = 'skipped') AS skipped,
         count(*) FILTER (status = 'error' OR status NOT IN {COUNTED}) AS errors FROM v_results GROUP BY entry)
-    SELECT entry, ok, overwritten, skipped, errors, COALESCE(failures, '') AS failures, errors > 20 AS failures_truncated
+    SELECT entry, ok, overwritten, skipped, errors, COALESCE(failures, '') AS failures, errors > 200 AS failures_truncated
     FROM t LEFT JOIN l USING (entry)""")
 def run_summary(s):
-    out = sinks.run_summary(s.v_results, limit=20)
+    out = sinks.run_summary(s.v_results)
     return out.withColumn("failures", F.array_join(F.transform(
         "failures", lambda f: F.concat_ws(":", f["file"], f["reason"])), "; "))
 
 
+@query("run_failures", "S7", """
+    SELECT entry, src AS file, detail AS reason FROM v_results WHERE status NOT IN ('ok', 'copied', 'overwrite', 'skipped', 'aborted')""")
+def run_failures(s):
+    return sinks.run_failures(s.v_results)
+
+
 @query("profile_stats", "A15", """
     SELECT lang, count(*) FILTER (source LIKE '%1') AS applied, count(*) FILTER (source NOT LIKE '%1') AS skipped,
         count(*) FILTER (source LIKE '%2') AS already_correct, CAST(0 AS BIGINT) AS skipped_needed,

@@ -11,11 +11,15 @@ from workload.q_sync import JOURNAL, journal_lines, plan
 from workload.registry import query
 
 
-@query("scan_assets", "S1")
+@query("scan_assets", "S1", """
+    SELECT doc_id, source, CAST(strlen(text) + 1 AS BIGINT) AS size FROM documents""")
 def scan_assets(s):
-    """The data folder itself as a library: listed, never opened."""
-    found = assets.scan_assets(s.spark, s.sf_dir, ["parquet"])
-    return found.select(P.file_name("path").alias("name"), "size")
+    """Documents written out as files of their own, then listed, never opened."""
+    folder = working_path(s.spark, "library")
+    s.documents.select("text", "source", "doc_id").repartition("source", "doc_id").write.partitionBy("source", "doc_id").text(folder)
+    found = assets.scan_assets(s.spark, folder, ["TXT"])
+    place = lambda key: F.regexp_extract("path", f"/{key}=([^/]*)/", 1)
+    return found.select(place("doc_id").cast("bigint").alias("doc_id"), place("source").alias("source"), "size")
 
 
 @query("read_metadata", "S2", """
@@ -72,13 +76,21 @@ def checksum_journal(s):
     return checksums.last_lines(checksums.parse_journal(texts))
 
 
-@query("journal_files", "S5 S6", f"""
-    WITH {JOURNAL} SELECT DISTINCT name, md5 FROM lines""")
+@query("journal_files", "S5 S6", """
+    SELECT CAST(user_id AS VARCHAR) || '/' || CAST(event_id % 1000 AS VARCHAR) AS name,
+        md5(CAST(max_by(event_id, event_id) FILTER (event_type <> 'click') AS VARCHAR)) AS md5
+    FROM events GROUP BY user_id, event_id % 1000 HAVING count(*) FILTER (event_type <> 'click') > 0
+    UNION ALL SELECT CAST(user_id AS VARCHAR) || '/' || CAST(event_id % 1000 AS VARCHAR), md5('first' || CAST(max(event_id) AS VARCHAR))
+    FROM events GROUP BY user_id, event_id % 1000 HAVING count(*) FILTER (event_type <> 'click') = 0""")
 def journal_files(s):
+    """Two appends of lines to one journal; the second one's lines count where it has any."""
     folder = working_path(s.spark, "journal")
-    checksums.write_checksums(journal_lines(s), folder)
-    lines = checksums.parse_journal(s.spark.read.text(folder))
-    return lines.select("name", "md5").distinct()
+    name = F.concat_ws("/", F.col("user_id").cast("string"), (F.col("event_id") % 1000).cast("string")).alias("name")
+    number = F.col("event_id").cast("string")
+    checksums.write_checksums(s.events.select(name, F.md5(F.concat(F.lit("first"), number)).alias("md5"), "event_id"), folder, "event_id")
+    later = s.events.filter("event_type <> 'click'").select(name, F.md5(number).alias("md5"), "event_id")
+    checksums.write_checksums(later, folder, "event_id")
+    return checksums.read_checksums(s.spark, folder).select("name", "md5")
 
 
 @query("plan_sink", "S9", """

@@ -210,21 +210,9 @@ VIEWS = {
 _NAME = re.compile(r"\{(\w+)\}")
 
 
-# Tables whose rows the views do real work on.
-_WIDE_WORK = ("lineitem", "documents", "events")
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table; a scan with fewer splits than cores is spread first.
-
-    A small table is one row group and would be one task.  A table of many
-    splits already occupies the cluster and is never shuffled for this.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _WIDE_WORK and df.rdd.getNumPartitions() * 2 <= cores:
-        df = df.repartition(cores)
-    return df
+    """One given table; the scan's split settings decide how it is cut, at every size."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
