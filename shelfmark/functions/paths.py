@@ -188,8 +188,11 @@ def apply_rename(name, rename_from, rename_to) -> Column:
     return F.when(F.trim(result) != "", F.concat(result, tail))
 
 
-def is_excluded(dirs: Column, names: Iterable[str], root) -> Column:
-    """A folder strictly below the root carries one of ``names``."""
+def is_excluded(dirs: Column, names, root) -> Column:
+    """A folder strictly below the root carries one of ``names`` (words, or a column of ``a;b``; NULL: none)."""
+    if isinstance(names, Column):
+        listed = F.transform(F.split(F.lower(names), ";"), lambda n: F.trim(n))
+        return F.coalesce(F.exists(below_root(dirs, root), lambda part: F.array_contains(listed, F.lower(part))), F.lit(False))
     wanted = [n.lower() for n in names]
     if not wanted or root is None:
         return F.lit(False)

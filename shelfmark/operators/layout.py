@@ -42,7 +42,11 @@ def _with_anchor(df: DataFrame, col: str, root, marker, fold_case: bool) -> Data
 
 
 def _destination(mode, cfg: LayoutConfig, col: str, root) -> Column:
-    """P5 over staged ``_dirs`` and ``_anchor`` columns."""
+    """P5 over staged ``_dirs`` and ``_anchor`` columns.
+
+    ``cfg.output_root``, ``export_marker``, ``export_folder`` and ``export_subfolder``
+    may be columns: a manifest row has its own.
+    """
     path, file = F.col(col), P.file_name(col)
     out = file if cfg.extension is None else F.concat(P.stem_of(file), F.lit(cfg.extension))
     here = P.parent(col)
@@ -61,10 +65,12 @@ def _destination(mode, cfg: LayoutConfig, col: str, root) -> Column:
         return F.when(inside if in_subfolder is None else inside & in_subfolder, dest)
 
     def in_subfolder() -> Column | None:
-        if not cfg.export_subfolder:
+        wanted, below = cfg.export_subfolder, F.coalesce(F.get(F.col("_dirs"), F.col("_anchor") + 1), file)
+        if isinstance(wanted, Column):  # a manifest's; empty: every subfolder
+            return F.coalesce((wanted == "") | (F.lower(below) == F.lower(wanted)), F.lit(True))
+        if not wanted:
             return None
-        below = F.coalesce(F.get(F.col("_dirs"), F.col("_anchor") + 1), file)
-        return F.lower(below) == cfg.export_subfolder.lower()
+        return F.lower(below) == wanted.lower()
 
     rules = {
         0: lambda: P.join_path(F.coalesce(F.lit(cfg.output_root), here), out),

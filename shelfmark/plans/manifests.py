@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import skew
 from shelfmark.config import LayoutConfig, layout_for
+from shelfmark.functions import paths as P
 from shelfmark.operators import layout, manifest
 from shelfmark.session import materialise
 
@@ -17,51 +21,93 @@ LAYOUT_OF = {
 }
 
 
-def planned_outputs(rows: DataFrame, assets: DataFrame, direction: str,
-                    where: LayoutConfig | None = None) -> DataFrame:
-    """Every row's outputs: the row's mode and Source are columns of the plan."""
-    where = where or layout_for(LAYOUT_OF[direction])
-    expanded = manifest.expand_manifest(rows, assets)
-    sources = rows.select("row_no", F.col("Source").alias("_root"))
-    joined = skew.attach(expanded, sources, ["row_no"])
-    return layout.planned_destinations(
-        joined, F.col("mode"), where, root=F.col("_root")).select("row_no", "path", "dest")
+# Everything about a row that decides which files it reads and where they go.
+_SHAPE = ("source", "mode", "out", "rename_from", "rename_to", "marker", "subfolder", "folder", "exclude")
+
 
+def detected_mode(source: Column, marker: Column, subfolder: Column) -> Column:
+    """The mode of an empty cell: an export folder is one (7 with an input subfolder, else 6), anything else is flat."""
+    export = F.exists(P.segments(source), lambda part: P.marker_matches(part, marker))
+    return F.when(export, F.when(subfolder != "", 7).otherwise(6)).otherwise(0)
 
-def distinct_runs(rows: DataFrame) -> DataFrame:
-    """Rows that would do the same work, as one: equal Source and mode.
 
-    Keeps the two lowest row numbers and the highest, which is all the
-    cross-row checks name; many rows sharing a Source are expanded once.
+def shaped_rows(rows: DataFrame, direction: str, run: Mapping[str, str | None] | None = None,
+                where: LayoutConfig | None = None) -> DataFrame:
+    """Rows with what their cells and the run's answers (P30) make of their outputs.
+
+    Destination counts in modes 0 and 2 only.  Renames belong to derivative
+    directions, exclusions to the scanning ones, the export folder to those that
+    write one.  A mode cell that says no mode leaves the row without outputs.
     """
-    keyed = rows.select("row_no", "Source", "Mode")
-    two = skew.top_rows(keyed, ["Source", "Mode"], [F.col("row_no")], 2).groupBy(
-        "Source", "Mode").agg(F.min("row_no").alias("first"), F.max("row_no").alias("second"))
-    last = keyed.groupBy("Source", "Mode").agg(F.max("row_no").alias("last"))
-    return two.join(last, ["Source", "Mode"]).withColumn("row_no", F.col("first"))
+    where = where or layout_for(LAYOUT_OF[direction])
+    run = {"ExportMarker": where.export_marker, "ExportSubfolder": where.export_subfolder,
+           "ExportJxlFolder": where.export_folder, "ExcludeFolders": ";".join(where.exclude_folders) or None, **(run or {})}
+    out = manifest.resolve_options(rows, run, "present" if "present" in rows.columns else None)
+    text = lambda name: F.coalesce(F.col(f"opt_{name}"), F.lit(""))
+    only = lambda allowed, value: value if direction in allowed else F.lit("")
+    source = F.regexp_replace(F.trim("Source"), "(?<=.)/$", "")
+    empty = F.trim(F.coalesce("Mode", F.lit(""))) == ""
+    mode = F.when(empty, detected_mode(source, text("ExportMarker"), text("ExportSubfolder"))).otherwise(manifest.mode_of())
+    dest = F.regexp_replace(F.trim(F.coalesce("Destination", F.lit(""))), "(?<=.)/$", "")
+    staged = out.select("row_no", source.alias("source"), mode.alias("mode"), dest.alias("_dest"), only(
+        manifest.DERIVATIVE_DIRECTIONS, text("RenameFrom")).alias("rename_from"), only(
+        manifest.DERIVATIVE_DIRECTIONS, text("RenameTo")).alias("rename_to"), text("ExportMarker").alias("_marker"),
+        text("ExportSubfolder").alias("_subfolder"), F.when(
+            F.lit(direction in manifest.EXPORT_FOLDER_DIRECTIONS), text("ExportJxlFolder")).otherwise(where.export_folder).alias("_folder"),
+        only(manifest.EXCLUDE_DIRECTIONS, text("ExcludeFolders")).alias("exclude"))
+    in_mode = lambda numbers, name: F.when(F.col("mode").isin(*numbers), F.col(name)).otherwise("")
+    return staged.filter("mode IS NOT NULL").select(
+        "row_no", "source", "mode", in_mode((0, 2), "_dest").alias("out"), "rename_from", "rename_to",
+        in_mode((6, 7), "_marker").alias("marker"), in_mode((7,), "_subfolder").alias("subfolder"),
+        in_mode((6, 7), "_folder").alias("folder"), "exclude")
 
 
-def cross_row_collisions(outputs: DataFrame) -> DataFrame:
-    """Destinations written by more than one manifest row, one line each.
+def distinct_runs(shaped: DataFrame) -> DataFrame:
+    """Rows whose outputs are the same, as one run: its number (the first row's), the last row and how many."""
+    return shaped.groupBy(*_SHAPE).agg(
+        F.min("row_no").alias("row_no"), F.max("row_no").alias("last_row"), F.count(F.lit(1)).alias("n_rows"))
 
-    ``outputs``: dest with the first and last row number of its runs.
+
+def planned_outputs(runs: DataFrame, assets: DataFrame, direction: str, where: LayoutConfig | None = None) -> DataFrame:
+    """Every distinct run's outputs, planned once: row_no, last_row, n_rows, path, dest.
+
+    All cells that shape an output are columns of the plan.
     """
+    where = where or layout_for(LAYOUT_OF[direction])
+    expanded = manifest.expand_manifest(
+        runs.select("row_no", F.col("source").alias("Source"), F.col("mode").cast("string").alias("Mode")), assets)
+    joined = skew.attach(expanded.select("row_no", "path"), runs, ["row_no"])
+    joined = joined.filter((F.col("exclude") == "") | ~P.is_excluded(P.folder_parts("path"), F.col("exclude"), F.col("source")))
+    own = replace(where, output_root=F.nullif(F.col("out"), F.lit("")), export_marker=F.col("marker"),
+                  export_folder=F.col("folder"), export_subfolder=F.col("subfolder"))
+    planned = layout.planned_destinations(joined, F.col("mode"), own, root=F.col("source"))
+    renamed = layout.rename_outputs(planned, F.col("rename_from"), F.col("rename_to")).filter(F.col("dest").isNotNull())
+    return renamed.select("row_no", "last_row", "n_rows", "path", "dest")
+
+
+def cross_row_collisions(outputs: DataFrame) -> DataFrame:
+    """Destinations written by more than one manifest row, one line each: the first and last row, and how many."""
+    # A run writes a destination once for each of its rows, whatever number of files meet there.
+    by_run = outputs.groupBy("dest", "row_no").agg(F.max("last_row").alias("last_row"), F.max("n_rows").alias("n_rows"))
     return (
-        outputs.groupBy("dest").agg(F.min("first").alias("row_no"), F.max("last").alias("_other"))
-        .filter(F.col("row_no") != F.col("_other"))
+        by_run.groupBy("dest").agg(F.min("row_no").alias("row_no"), F.max("last_row").alias("_other"), F.sum("n_rows").alias("_n"))
+        .filter("_n > 1")
         .select("row_no", F.concat_ws(
-            " ", "dest", F.lit("also row"), F.col("_other").cast("string")).alias("detail")))
+            " ", "dest", F.lit("also row"), F.col("_other").cast("string"), F.lit("of"), F.col("_n").cast("string")).alias("detail")))
 
 
 def check_manifest(rows: DataFrame, assets: DataFrame, direction: str, deletes: bool = False,
-                   where: LayoutConfig | None = None) -> DataFrame:
+                   where: LayoutConfig | None = None, run: Mapping[str, str | None] | None = None) -> DataFrame:
     """One row per finding (check, row_no, detail); any finding refuses the run."""
-    runs = materialise(distinct_runs(rows))
+    shaped = shaped_rows(rows, direction, run, where)
     # Outputs are read by two checks; runs are few, their outputs are many.
-    outputs = materialise(skew.attach(
-        planned_outputs(runs, assets, direction, where),
-        runs.select("row_no", "first", "second", "last"), ["row_no"]))
-    writers = outputs.select("dest", F.explode(F.array("first", "second")).alias("row_no"))
+    outputs = materialise(planned_outputs(materialise(distinct_runs(shaped)), assets, direction, where))
+    folders = outputs.select("row_no", P.parent("dest").alias("folder")).distinct()
+    # Every row of a run writes where the run does; a run's rows meet its folders, not its files.
+    first = distinct_runs(shaped).select(*_SHAPE, F.col("row_no").alias("_run"))
+    of_run = shaped.join(first, [*_SHAPE]).select(F.col("_run").alias("row_no"), F.col("row_no").alias("_row"))
+    writers = skew.attach(folders, of_run, ["row_no"], "inner").select(
+        F.col("_row").alias("row_no"), F.concat("folder", F.lit("/x")).alias("dest"))
     errors = manifest.validate_manifest(rows, direction, deletes).select(
         F.lit("cell").alias("check"), "row_no", F.concat_ws(": ", "column", "message").alias("detail"))
     overlaps = manifest.source_overlaps(rows).select(
