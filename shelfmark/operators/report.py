@@ -147,7 +147,8 @@ def space_preflight(plan: DataFrame, ratios: DataFrame, volumes: DataFrame,
     ``plan``: volume, dest_dir, src, size, at_run_distance.  ``ratios``: ratio
     samples of the run.  ``volumes``: volume, free.  A source counts once per
     destination folder however many pages it has; sources at another distance
-    count at their full size.  ``staging_peak`` is the two largest folders.
+    count at their full size.  ``staging_peak`` is the two largest folders;
+    ``below_minimum`` says that the whole run is too small to be asked about.
     """
     sources = plan.select("volume", "dest_dir", "src", "size", "at_run_distance").dropDuplicates(
         ["volume", "dest_dir", "src"])
@@ -164,8 +165,8 @@ def space_preflight(plan: DataFrame, ratios: DataFrame, volumes: DataFrame,
     return (
         per_volume.join(volumes, "volume", "left")
         .withColumn("staging_peak", peak)
-        .withColumn("verdict", F.when(total < minimum, F.lit("skipped"))
-                    .when(F.col("free").isNull(), F.lit("unknown"))
+        .withColumn("below_minimum", total < minimum)
+        .withColumn("verdict", F.when(F.col("free").isNull(), F.lit("unknown"))
                     .when(F.col("free") <= F.col("need"), F.lit("not enough"))
                     .otherwise(F.lit("ok"))))
 

@@ -66,14 +66,15 @@ PROBLEM = """CASE lang WHEN 'en' THEN NULL WHEN 'fr' THEN 'after the XMP' WHEN '
 
 @query("container_boxes", "U1", """
     SELECT "type", count(*) AS boxes, CAST(sum("size") AS BIGINT) AS bytes FROM (
-      SELECT CASE WHEN source LIKE '%4' OR source LIKE '%3' THEN 'jxlp' ELSE 'jxlc' END AS "type",
-          octet_length(encode(text)) + CASE WHEN source LIKE '%4' OR source LIKE '%3' THEN 24 ELSE 8 END AS "size"
-      FROM documents WHERE source NOT LIKE '%0' AND source NOT LIKE '%5' AND source NOT LIKE '%6'
-          AND source NOT LIKE '%8' AND source NOT LIKE '%9')
+      -- One whole codestream; where the last byte is missing, it must not be in the last box.
+      SELECT 'jxlc' AS "type", octet_length(encode(text)) + 8 AS "size" FROM documents
+      WHERE right(source, 1) NOT IN ('0', '3', '4', '5', '8') AND (source NOT LIKE '%9' OR lang = 'es')
+      -- Two parts, counted by the first.
+      UNION ALL SELECT 'jxlp', octet_length(encode(text)) + 24 FROM documents WHERE right(source, 1) IN ('3', '4', '6'))
     GROUP BY "type" """)
 def container_boxes(s):
-    plain = s.documents.filter("NOT source RLIKE '[05689]$'").select(F.col("doc_id").cast("string").alias("path"))
-    boxes = audit.explode_boxes(containers(s)).join(plain, "path", "left_semi")
+    """Codestream boxes of all files; those without a signature have none."""
+    boxes = audit.explode_boxes(containers(s))
     return boxes.filter(F.col("type").isin("jxlc", "jxlp")).groupBy("type").agg(
         F.count_if(F.coalesce("part_no", F.lit(0)) == 0).alias("boxes"), F.sum("size").alias("bytes"))
 
@@ -88,10 +89,8 @@ def audit_containers(s):
     SELECT CAST(doc_id AS VARCHAR) AS path, source LIKE '%7' AS has_jbrd, {PROBLEM} AS layout_problem FROM documents
     WHERE source NOT LIKE '%8' AND source NOT LIKE '%0'""")
 def audit_layout(s):
-    # Files without a container signature have no layout to speak of.
-    sound = s.documents.filter("NOT source RLIKE '[08]$'").select(F.col("doc_id").cast("string").alias("path"))
-    boxes = audit.explode_boxes(containers(s)).join(sound, "path", "left_semi")
-    return audit.audit_layout(boxes)
+    # Files without a container signature have no boxes and so no layout to speak of.
+    return audit.audit_layout(audit.explode_boxes(containers(s)))
 
 
 @query("audit_totals", "A20", f"""
@@ -101,9 +100,7 @@ def audit_totals(s):
     files = containers(s)
     boxes = audit.explode_boxes(files)
     layout = audit.audit_layout(boxes).select("path", "layout_problem")
-    signed = s.documents.filter("NOT source RLIKE '[08]$'").select(F.col("doc_id").cast("string").alias("path"))
-    return report.audit_totals(audit.audit_containers(files, boxes).join(
-        layout.join(signed, "path", "left_semi"), "path", "left"))
+    return report.audit_totals(audit.audit_containers(files, boxes).join(layout, "path", "left"))
 
 
 def jpegs(s):

@@ -109,7 +109,7 @@ PREFLIGHT = """s AS (SELECT 'vol' || CAST(l_suppkey % 4 AS VARCHAR) AS volume, '
     free AS (SELECT 'vol' || CAST(s_suppkey % 3 AS VARCHAR) AS volume, CAST(max(s_acctbal) * 100000000 AS BIGINT) AS free
         FROM supplier GROUP BY 1)
     SELECT v.volume, round(need, 2) AS need, COALESCE(free, -1) AS free, round(peak, 2) AS staging_peak,
-        CASE WHEN (SELECT sum(total) FROM f) < 5368709120 THEN 'skipped' WHEN free IS NULL THEN 'unknown'
+        (SELECT sum(total) FROM f) < 5368709120 AS below_minimum, CASE WHEN free IS NULL THEN 'unknown'
         WHEN free <= need THEN 'not enough' ELSE 'ok' END AS verdict
     FROM v LEFT JOIN free ON v.volume = free.volume, p""")
 def space_preflight(s):
@@ -124,7 +124,7 @@ def space_preflight(s):
             F.rint(F.max("s_acctbal") * 100000000).cast("bigint").alias("free"))
     return report.space_preflight(plan, ratios, volumes).select(
         "volume", F.round("need", 2).alias("need"), F.coalesce("free", F.lit(-1)).alias("free"),
-        F.round("staging_peak", 2).alias("staging_peak"), "verdict")
+        F.round("staging_peak", 2).alias("staging_peak"), "below_minimum", "verdict")
 
 
 @query("worst_ratio", "A17", """
