@@ -29,8 +29,8 @@ PROJECTIONS = 64  # at least
 THRESHOLD = 0.75
 #: Share of a block that becomes candidates at least.
 VERIFIED = 0.12
-#: Each widening of the windows.
-WIDER = 1.2
+#: Half the first window's width (projections of unequal vectors differ by about 1), and each widening.
+FIRST, WIDER = 0.9, 1.06
 BLOCK_ROWS, QUERY_ROWS = 8192, 1024
 NEIGHBOURS, EVERY = 5, 50
 
@@ -83,15 +83,14 @@ class Block:
         at = np.clip(query @ self.directions, -self.far, self.far) + self.shift
         low = high = np.searchsorted(self.flat, at)
         low, high = np.clip(low, np.arange(self.arrays) * n, None), np.clip(high, None, np.arange(1, self.arrays + 1) * n)
-        counts, half = np.zeros(n, np.int64), 0.05
+        counts, half = np.zeros(n, np.int64), FIRST
         while True:
             a = np.maximum(np.searchsorted(self.flat, at - half), np.arange(self.arrays) * n)
             b = np.minimum(np.searchsorted(self.flat, at + half, "right"), np.arange(1, self.arrays + 1) * n)
             a, b = np.minimum(a, low), np.maximum(b, high)
             # Only what the wider windows add is counted.
-            begin, size = np.concatenate((a, high)), np.concatenate((low - a, b - high))
-            index = np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
-            counts += np.bincount(self.order[index], minlength=n)
+            new = [self.order[x:y] for x, y in zip([*a.tolist(), *high.tolist()], [*low.tolist(), *b.tolist()], strict=True)]
+            counts += np.bincount(np.concatenate(new), minlength=n)
             low, high = a, b
             if (counts >= least).sum() >= wanted or half > 4 * self.far:
                 return np.flatnonzero(counts >= least)
