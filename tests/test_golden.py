@@ -1,4 +1,7 @@
-"""Golden vectors of the scalar rules and policies."""
+"""Golden vectors of the scalar rules and policies.
+
+The tables of inputs and outputs below are fixed values: results that must be met.
+"""
 
 import pytest
 from pyspark.sql import functions as F
