@@ -105,6 +105,45 @@ def test_random_runs_are_found_and_words_are_not(spark):
     assert sum(got[i].n_random for i in range(30, 60)) == 0
 
 
+def test_one_key_in_a_thousand_candidates(spark):
+    """A key of 20, 32 and 40 letters of each encoding among a thousand runs that words, counters and codes make up."""
+    rng = np.random.default_rng(11)
+    words = {w for t in pd.read_parquet(f"{SF}/documents.parquet").text.dropna() for w in t.split() if w.isascii() and w.isalpha() and 3 <= len(w) <= 9}
+    words = np.array(sorted(words))
+
+    def joined(sep="", form=str.lower):
+        out = ""
+        while len(out) < 20:
+            out += (sep if out else "") + form(str(rng.choice(words)))
+        return out
+
+    plain = {
+        "upper_hex": lambda: "".join(rng.choice(["DEAD", "BEEF", "CAFE", "FADE", "FACE", "0000", "FFFF", "BABE", "FEED", "00FF"], 7)),
+        "base32": lambda: joined(form=str.upper), "lower": joined, "capital": lambda: joined().capitalize(),
+        "lower_digit": lambda: f"{joined()}{rng.integers(2000)}", "letters_digits": lambda: f"{joined(form=str.capitalize)}{rng.integers(100)}",
+        "base64": lambda: joined("_-/"[rng.integers(3)])}
+    letters = {k: a for k, a, _ in secrets.ENCODINGS}
+    rows, planted = [], set()
+    for name, make in plain.items():
+        for n in (20, 32, 40):
+            planted.add(len(rows))
+            rows.append("".join(rng.choice(list(letters[name]), n)))
+        rows += [make() for _ in range(1000)]
+    got = by_id(secrets.secrets(spark.createDataFrame(
+        [(i, f"{rng.choice(words)} {r} {' '.join(rng.choice(words, 12))}") for i, r in enumerate(rows)], "doc_id long, text string")))
+    found = {i for i, r in got.items() if r.n_random}
+    assert len(found & planted) >= len(planted) - 1
+    assert len(found - planted) <= 2
+
+
+def test_keys_without_other_candidates(spark):
+    """A stratum that holds nothing but keys, of the shortest length, in a corpus of two words."""
+    rng = np.random.default_rng(12)
+    keys = ["".join(rng.choice(list("234567ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 20)) for _ in range(300)]
+    got = by_id(secrets.secrets(spark.createDataFrame([(i, f"see {k} there") for i, k in enumerate(keys)], "doc_id long, text string")))
+    assert sum(r.n_random for r in got.values()) >= 100
+
+
 def test_redacted(spark):
     table = spark.createDataFrame([(1, "a token=abcdefabcdefabcdef0123 b"), (2, "clean"), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in secrets.redacted(table).collect()} == {1: "a <SECRET> b", 2: "clean", 3: None}
