@@ -45,6 +45,14 @@ def test_stages(spark):
         assert r.ids == t.encode(after[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids)
 
 
+def test_ids_decode_to_the_stage_input(spark):
+    texts = [None, "", " a  b\n", "é 😀 naïve ÀÉ", "it's 12345 <|endoftext|>", "x" * 3000]
+    rows = [(k, "s", t) for k, t in enumerate(texts)] + [(r.doc_id, r.source, r.text) for r in documents(spark, SF).limit(200).collect()]
+    want = sorted((d, brute.sha(t or "")) for d, _, t in rows)
+    got = corpus_pipeline.encode(spark, spark.createDataFrame(rows, "doc_id long, source string, text string"), SF)
+    assert sorted((r.doc_id, r.decoded_sha256) for r in got.collect()) == want
+
+
 def test_empty_and_awkward_tables(spark, tmp_path):
     kind = "doc_id long, text string, lang string, source string, n_chars long, kept int, position string"
     for k, rows in enumerate(([], [(1, None, None, None, None, 1, "p"), (None, "a b c " * 30, "en", "s", 3, 2, None), (2, "", "en", "s", 0, 3, "q")])):
