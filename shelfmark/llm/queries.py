@@ -43,3 +43,6 @@ on_documents("op1_weighting", _from("weighting", "scores"))
 QUERIES["op3_collisions"] = lambda spark, sf_dir: _from("collisions", "neighbours")(
     tune(spark).read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
 on_documents("op2_licenses", _from("licenses", "matches"))
+on_documents("op11_fingerprints", _from("fingerprints", "fingerprints"))
+on_documents("op12_collocations", _from("collocations", "collocations"))
+on_documents("op13_spelling", _from("spelling", "variants"))

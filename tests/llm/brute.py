@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -102,3 +103,76 @@ def near(docs):
         if 100 * both >= 75 * (len(x) + len(y) - both) and (r := root(a)) != (q := root(b)):
             up[max(r, q)] = min(r, q)
     return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def spelling(docs):
+    """(word, form, root, n, n_near, form_n) of every word, near pairs by trying every edit."""
+    seen = Counter()
+    for d, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lowered(run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 31 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            seen[run] += 1
+    n = {w: c for w, c in seen.items() if c >= 2 and len(w) >= 7}
+    near = defaultdict(set)
+    holes = defaultdict(list)
+    for w in n:
+        for i in range(len(w)):
+            holes[w[:i], w[i + 1:]].append(w)
+            if w[:i] + w[i + 1:] in n:
+                near[w].add(w[:i] + w[i + 1:])
+                near[w[:i] + w[i + 1:]].add(w)
+    for same in holes.values():
+        for w in same:
+            near[w].update(x for x in same if x != w)
+    form = {}
+    for w, others in near.items():
+        if others:
+            best = min(others, key=lambda x: (-n[x], x))
+            if n[best] >= 10 * n[w]:
+                form[w] = best
+    out = set()
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.add((w, form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None))
+    return out
+
+
+def collocations(docs, top=2000):
+    """docs: (lang, text)."""
+    f, total = Counter(), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lowered(text)):
+            w = re.findall("[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for size in (1, 2, 3):
+                f.update((lang, *w[i:i + size]) for i in range(len(w) - size + 1))
+    rows = defaultdict(list)
+    inside = Counter()
+    for (lang, *w), a in f.items():
+        if len(w) == 3 and a >= 10:
+            for part in (w[:2], w[1:]):
+                inside[(lang, *part)] = max(inside[(lang, *part)], a)
+    for (lang, *w), a in f.items():
+        if len(w) > 1 and a >= 10 and not 100 * inside[(lang, *w)] >= 50 * a:
+            cuts = [(1_000_000 * a * a // (f[(lang, *w[:k])] * f[(lang, *w[k:])]), k) for k in range(1, len(w))]
+            score, k = min(cuts)
+            rows[lang].append((-score, -a, " ".join(w).encode(), f[(lang, *w[:k])], f[(lang, *w[k:])]))
+    return {(lang, i, p.decode(), -a, x, y, total[lang], -s) for lang, every in rows.items()
+            for i, (s, a, p, x, y) in enumerate(sorted(every)[:top], 1)}
+
+
+def edited(docs):
+    """docs: (doc_id, text), ids distinct: doc_id -> (n_chars, edited text, next doc_id)."""
+    order = sorted(docs, reverse=True)
+    out = {}
+    for (d, text), (after, other) in zip(order, order[1:] + order[:1]):
+        text, other = text or "", other or ""
+        half = len(text) // 2
+        out[d] = (len(text), text[:len(text) - half] + other[:half], after)
+    return out
