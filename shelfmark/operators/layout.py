@@ -35,10 +35,12 @@ def _needs_anchor(mode) -> bool:
     return not isinstance(mode, int) or mode in (6, 7)
 
 
-def _with_anchor(df: DataFrame, col: str, root, marker, fold_case: bool) -> DataFrame:
-    # Columns of their own: the rules below look at them several times.
-    return df.withColumn("_dirs", P.folder_parts(col)).withColumn(
-        "_anchor", P.marker_anchor(F.col("_dirs"), root, marker, fold_case))
+def _with_anchor(df: DataFrame, col: str, root, marker, fold_case: bool, mode) -> DataFrame:
+    # Columns of their own: the rules below look at them several times.  Only modes 6 and 7 have an anchor.
+    anchor = P.marker_anchor(F.col("_dirs"), root, marker, fold_case)
+    if not isinstance(mode, int):
+        anchor = F.when(_mode(mode).isin(6, 7), anchor)
+    return df.withColumn("_dirs", P.folder_parts(col)).withColumn("_anchor", anchor)
 
 
 def _destination(mode, cfg: LayoutConfig, col: str, root) -> Column:
@@ -103,7 +105,7 @@ def resolve_destination(df: DataFrame, mode, direction: str = "archive",
     cfg = cfg or layout_for(direction)
     root = cfg.root if root is None else root
     staged = (
-        _with_anchor(df, col, root, cfg.export_marker, cfg.fold_case) if _needs_anchor(mode) else df)
+        _with_anchor(df, col, root, cfg.export_marker, cfg.fold_case, mode) if _needs_anchor(mode) else df)
     return staged.withColumn(name, _destination(mode, cfg, col, root)).drop("_dirs", "_anchor")
 
 
@@ -116,7 +118,7 @@ def planned_destinations(df: DataFrame, mode, cfg: LayoutConfig, col: str = "pat
     and repeat the whole rule.
     """
     root = cfg.root if root is None else root
-    staged = _with_anchor(df, col, root, cfg.export_marker, cfg.fold_case)
+    staged = _with_anchor(df, col, root, cfg.export_marker, cfg.fold_case, mode)
     dest = _destination(mode, cfg, col, root)
     if select:
         dest = F.when(_selection(mode, cfg) == "selected", dest)
@@ -193,7 +195,7 @@ def _selection(mode, cfg: LayoutConfig) -> Column:
 def with_selection(df: DataFrame, mode, cfg: LayoutConfig, col: str = "path",
                    name: str = "selection") -> DataFrame:
     """S10: 'selected', or why the mode leaves a file out."""
-    staged = _with_anchor(df, col, cfg.root, cfg.export_marker, cfg.fold_case)
+    staged = _with_anchor(df, col, cfg.root, cfg.export_marker, cfg.fold_case, mode)
     return staged.withColumn(name, _selection(mode, cfg)).drop("_dirs", "_anchor")
 
 

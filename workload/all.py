@@ -4,7 +4,7 @@ import importlib
 
 MODULES = (
     "q_paths", "q_records", "q_policy", "q_sync", "q_groups", "q_report", "q_manifest", "q_raster",
-    "q_audit", "q_plans", "q_sources", "q_streaming",
+    "q_audit", "q_plans", "q_evidence", "q_sources", "q_streaming",
 )
 for _name in MODULES:
     try:
