@@ -141,6 +141,8 @@ TILE_ROWS = 512
 CONTAINER_SIGNATURE_HEX = "0000000C4A584C200D0A870A"
 BARE_SIGNATURE_HEX = "FF0A"
 PNG_SIGNATURE_HEX = "89504E470D0A1A0A"
+# A whole end chunk: no data, its type, its check sum.
+PNG_END_HEX = "0000000049454E44AE426082"
 TIFF_SIGNATURES_HEX = ("49492A00", "49492B00", "4D4D002A", "4D4D002B")
 A2B_TAGS = ("A2B0", "A2B1", "A2B2")
 B2A_TAGS = ("B2A0", "B2A1", "B2A2")
