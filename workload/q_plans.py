@@ -216,8 +216,40 @@ def plan_derive_copies(s):
     SELECT path, route, direction, dest, FALSE AS collides, sync,
         CASE WHEN sync = 'overwrite' AND route IN ('lossless', 'recover') AND binding IN ('source differs', 'archive replaced')
         THEN 'refuse' WHEN sync = 'overwrite' AND route IN ('lossless', 'recover') AND binding = 'not recorded' THEN 'verify'
-        ELSE 'allow' END AS verdict FROM p""")
+        -- Nobody read the records of these outputs.
+        WHEN sync = 'overwrite' AND route IN ('convert', 'decode') THEN 'refuse' ELSE 'allow' END AS verdict FROM p""")
 def plan_transcode(s):
+    return _transcode(s).select("path", "route", "direction", "dest", "collides", "sync", "verdict")
+
+
+RECORDED = """CASE WHEN substr(source, 4, 1) = '5' THEN 'unread' WHEN substr(source, 4, 1) IN ('6', '7') THEN 'other'
+        WHEN substr(source, 4, 1) = '8' THEN 'none' ELSE 'own' END"""
+
+
+@query("plan_transcode_guarded", "D4 J6", f"""
+    WITH a AS (SELECT d.doc_id, '/pics/' || source || '/p' || CAST(d.doc_id AS VARCHAR) || {EXT} AS path, {EXT} AS ext, lang, quality,
+        COALESCE(quality, 0) = 1 AS jbrd, {RECORDED} AS rec, d.doc_id % 4 = 0 AS out_jbrd, d.doc_id % 7 = 0 AS broken
+        FROM documents d LEFT JOIN labels USING (doc_id)),
+    r AS (SELECT *, CASE WHEN ext = '.png' THEN 'convert' ELSE 'decode' END AS route,
+        CASE WHEN quality IS NULL THEN 'write' WHEN lang = 'en' THEN 'overwrite' ELSE 'skip' END AS sync
+        FROM a WHERE ext = '.png' OR (ext = '.jxl' AND NOT jbrd))
+    SELECT path, route, sync, CASE WHEN sync <> 'overwrite' OR rec = 'own' THEN 'allow' WHEN rec = 'none' THEN CASE WHEN out_jbrd THEN 'refuse' ELSE 'allow' END
+        ELSE 'refuse' END AS verdict,
+        CASE WHEN sync <> 'overwrite' OR rec = 'own' OR (rec = 'none' AND NOT out_jbrd) THEN NULL WHEN broken THEN 'damaged output'
+        WHEN rec = 'none' THEN 'lossless archive' WHEN rec = 'unread' THEN 'record unread' ELSE 'different source' END AS reason
+    FROM r""")
+def plan_transcode_guarded(s):
+    """Conversions over existing outputs: whose they are decides."""
+    digit = F.substring("source", 4, 1)
+    own = F.concat(F.lit("/pics/"), "source", F.lit("/p"), F.col("doc_id").cast("string"), F.col("ext"))
+    plan = _transcode(s, {
+        "src": F.when(digit.isin("6", "7"), P.path_id(F.lit("/other"))).when(~digit.isin("5", "8"), P.path_id(own)),
+        "srcsum": F.lit(None).cast("string"), "read_ok": digit != "5", "out_jbrd": F.col("doc_id") % 4 == 0, "broken": F.col("doc_id") % 7 == 0})
+    plan = plan.filter(F.col("route").isin("convert", "decode"))
+    return plan.select("path", "route", "sync", "verdict", "reason")
+
+
+def _transcode(s, records=None):
     ext = F.element_at(F.array(*[F.lit(e) for e in (".tif", ".jpg", ".JPEG", ".png", ".jxl")]),
                        (F.col("doc_id") % 5 + 1).cast("int"))
     base = F.concat(F.lit("/pics/"), "source", F.lit("/p"), F.col("doc_id").cast("string"))
@@ -228,7 +260,8 @@ def plan_transcode(s):
     jxl = F.col("ext") == ".jxl"
     dest = F.concat("base", F.when(jxl, ".jpg").otherwise(".jxl"))
     have = docs.filter("quality IS NOT NULL AND ext <> '.tif'").select(
-        dest.alias("dest"), F.when(F.col("lang") == "en", 5).otherwise(20).alias("out_mtime"), F.md5(dest).alias("out_md5"))
+        dest.alias("dest"), F.when(F.col("lang") == "en", 5).otherwise(20).alias("out_mtime"), F.md5(dest).alias("out_md5"),
+        *[value.alias(name) for name, value in (records or {}).items()])
     # The archive is the output when encoding, the source when decoding.
     arch = F.when(jxl, F.col("path")).otherwise(dest)
     original = F.when(jxl, dest).otherwise(F.col("path"))
@@ -240,8 +273,7 @@ def plan_transcode(s):
             known.filter("NOT source LIKE '%3'").select(
                 folder.alias("folder"), F.concat(name, F.lit(".jxl-md5")).alias("name"),
                 F.when(tail.like("%4"), "0").otherwise(F.md5(arch)).alias("md5")))
-    return transcode.plan_transcode(assets, boxes, have, lines, 8, "/pics").select(
-        "path", "route", "direction", "dest", "collides", "sync", "verdict")
+    return transcode.plan_transcode(assets, boxes, have, lines, 8, "/pics")
 
 
 # -- gates --------------------------------------------------------------------------

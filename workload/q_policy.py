@@ -281,14 +281,16 @@ def one_direction(s):
 
 
 @query("union_routes", "X3", f"""
-    SELECT route, count(*) AS assets FROM (SELECT CASE lower({EXT}) WHEN '.jpg' THEN 'lossless'
-        WHEN '.jpeg' THEN 'lossless' WHEN '.png' THEN 'convert' END AS route FROM documents)
-    WHERE route IS NOT NULL GROUP BY route""")
+    SELECT route, count(*) AS assets, count(DISTINCT source) AS sources FROM (SELECT source, CASE lower({EXT}) WHEN '.jpg' THEN 'lossless'
+        WHEN '.jpeg' THEN 'lossless' WHEN '.png' THEN 'convert' WHEN '.jxl' THEN CASE WHEN COALESCE(quality, 0) = 1 THEN 'recover'
+        ELSE 'decode' END ELSE 'error' END AS route FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY route""")
 def union_routes(s):
+    """Every route's plan, with the columns it has; one without a column brings NULL."""
     plan = policy.route_assets(*routed(s))
-    return report.union_plans(
-        plan.filter("route = 'lossless'"), plan.filter("route = 'convert'").drop("source")).groupBy(
-            "route").agg(F.count(F.lit(1)).alias("assets"))
+    parts = [plan.filter(F.col("route") == r) for r in ("lossless", "convert", "recover", "decode", "error")]
+    parts[1] = parts[1].drop("lang").withColumn("quality_asked", F.lit(90))
+    return report.union_plans(*parts).groupBy("route").agg(
+        F.count(F.lit(1)).alias("assets"), F.count_distinct("source").alias("sources"))
 
 
 @query("decode_is_lossy", "P37", """
