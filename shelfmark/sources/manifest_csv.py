@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark import skew
+from shelfmark.functions import paths as P
 from shelfmark.operators.manifest import BASE_COLUMNS, OPTION_COLUMNS
 
 _LOOKS_LIKE_HEADER = {"destination", "mode", "direction"}
+#: A path from a root, a drive, a share or a store.
+_ABSOLUTE = r"^(?:/|\\\\|[A-Za-z]:[\\/]|[A-Za-z][A-Za-z0-9+.-]*://)"
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -17,8 +20,9 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     ``row_no`` counts the lines of all files in order, blank ones left out.  BOM
     tolerated; rows with an empty or commented Source are comments; a
     file's first row is a header only when it names Destination, Mode or Direction; an
-    unknown column, a ``..`` in a path or a fractional mode is an error row and
-    refuses the file.
+    unknown column, a ``..`` in a path, a fractional mode or a quoted cell that is
+    still open at the line's end is an error row and refuses the file.  Relative
+    paths are those of the file's own folder.
     """
     raw = (
         spark.read.text(path)
@@ -45,11 +49,16 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     present = F.create_map(*[
         x for c in OPTION_COLUMNS
         for x in (F.lit(c), F.lit(c.lower() in {n.lower() for n in names}))])
-    rows = parsed.select(F.col("_at").alias("row_no"), *cells, present.alias("present"))
+    own_folder = P.parent(P.without_scheme("_file"))  # like the paths of an asset listing
+    rows = parsed.select(F.col("_at").alias("row_no"), *cells, present.alias("present"), own_folder.alias("_folder"))
     for column in BASE_COLUMNS + OPTION_COLUMNS:
         if column not in rows.columns:
             rows = rows.withColumn(column, F.lit("").cast("string"))
     rows = rows.filter((F.col("Source") != "") & ~F.col("Source").startswith("#"))
+    for column in ("Source", "Destination"):
+        relative = (F.col(column) != "") & ~F.col(column).rlike(_ABSOLUTE)
+        rows = rows.withColumn(column, F.when(relative, P.join_path(F.regexp_replace("_folder", "/$", ""), column)).otherwise(F.col(column)))
+    rows = rows.drop("_folder")
     number = F.nullif(F.col("Mode"), F.lit("")).try_cast("double")
     bad_mode = (F.col("Mode") != "") & F.coalesce(
         number.isNull() | (number != F.floor(number)) | ~number.between(0, 8), F.lit(True))
@@ -62,6 +71,10 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         F.when(bad_mode, F.struct(F.lit("Mode").alias("column"),
                                   F.lit("mode out of range or fractional").alias("message")))))).alias("e")
     ).select("row_no", "e.column", "e.message")
+    # A cell may hold no line break: its row would be read as two, each with half of a path.
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    errors = errors.unionByName(parsed.filter(quotes % 2 == 1).select(
+        F.col("_at").alias("row_no"), F.lit("Source").alias("column"), F.lit("line break inside quotes").alias("message")))
     if len(named_by) > 1:
         unknown.append("files with different headers")
     if unknown:

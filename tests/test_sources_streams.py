@@ -61,6 +61,18 @@ def test_manifest_without_header_and_unknown_column(spark, tmp_path):
     assert [(e.column, e.message) for e in errors.collect()] == [("Resise", "unknown column")]
 
 
+def test_manifest_with_relative_paths_and_a_broken_line(spark, tmp_path):
+    path = tmp_path / "manifest_4.csv"
+    path.write_text('Source,Destination,Mode\nalbum,out/new,2\n/abs,,3\nC:\\pics,\\\\host\\share,2\ns3://bucket/a,,3\n"a, b",,3\n', encoding="utf-8")
+    rows, errors = manifest_csv.read_manifest(spark, str(path))
+    assert sorted((r.Source, r.Destination) for r in rows.collect()) == sorted([
+        (f"{tmp_path}/album", f"{tmp_path}/out/new"), ("/abs", ""), ("C:\\pics", "\\\\host\\share"), ("s3://bucket/a", ""), (f"{tmp_path}/a, b", "")])
+    assert errors.count() == 0
+    path.write_text('Source,Destination,Mode\n"/lib/a\nb",,0\n', encoding="utf-8")
+    _, errors = manifest_csv.read_manifest(spark, str(path))
+    assert {e.message for e in errors.collect()} == {"line break inside quotes"}
+
+
 def test_stream_groups_complete_and_truncated(spark, tmp_path):
     """Two files, two batches: a whole document at once, a short one on timeout."""
     schema = "folder string, group_id string, page int, is_thumb boolean, declared int, ts timestamp"
