@@ -10,7 +10,7 @@ hold therefore costs one record per chunk, not one per document, and no pairs.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +52,43 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Runtime setting: the shuffle files of a query go when it ends, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths of the working tables written so far in each open scope.
+_scopes: list[list[str]] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows written to the shared folder and read again: lineage ends here."""
-    path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows written to the shared folder and read again: lineage ends here, and so do the shuffle files behind it."""
+    spark = df.sparkSession
+    path = work_path(spark, label)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    if _scopes:
+        _scopes[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The result of ``build()`` as a table; the working tables that it took are removed."""
+    _scopes.append([])
+    try:
+        rows = build()
+        mine = _scopes.pop()
+    except BaseException:
+        _scopes.pop()
+        raise
+    out = stored(rows, label)
+    files = out.sparkSession._jvm.org.apache.hadoop.fs
+    conf = out.sparkSession._jsc.hadoopConfiguration()
+    for path in mine:
+        place = files.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +125,14 @@ def dealt(docs: DataFrame, n: int, name: str = "text") -> DataFrame:
     return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", name), F.lit(n)).cast("long"))
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL takes it, whatever letters are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def folded(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text", "source")) -> DataFrame:
     """``docs`` with all columns but ``own`` set aside in one, so that no name clashes with an operator's."""
-    rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in own]
+    rest = [F.col(quoted(c)).alias(c) for c in docs.columns if c not in own]
     return docs.select(*[c for c in docs.columns if c in own], *([F.struct(*rest).alias("_rest")] if rest else []))
 
 
