@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from shelfmark.llm import mixing, quality
+from shelfmark.llm import minmax, mixing, quality
 from shelfmark.llm.common import documents, stored
 from shelfmark.llm.queries import vocabulary_file
 from tests.llm import brute
@@ -58,3 +58,68 @@ def test_empty_and_awkward_tables(spark, tmp_path):
     for k, rows in enumerate(([], [(1, None, None, None, None, 1, "p"), (None, "a b c " * 30, "en", "s", 3, 2, None), (2, "", "en", "s", 0, 3, "q")])):
         spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{k}/documents.parquet")
         assert corpus_pipeline.run(spark, f"{tmp_path}/{k}").count() >= 0
+
+
+def test_rows_without_ids_and_clashing_names_in_dedup(spark):
+    """One row of each group stays, whatever ids are missing and whatever the other columns are called."""
+    text, other = " ".join(f"alpha{i}" for i in range(40)), " ".join(f"beta{i}" for i in range(40))
+    rows = [(1, text), (None, text), (None, text + " omega"), (None, other), (None, other), (None, other.upper()), (2, None), (None, ""),
+            (None, ""), (3, "  "), (4, "Ünïque ones"), (4, "Ünïque ones"), (None, "no words lost here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "*", "1 AS _stays", "2 AS _same", "3 AS component", "4 AS k1", "'x' AS id", "5 AS `a``b`")
+    got = minmax.deduplicated(docs)
+    assert got.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    chosen = [t for d, t in left if d is None and t and t.lower().startswith("beta")]
+    assert len(chosen) == 1
+    left.remove((None, chosen[0]))
+    assert left == sorted([(1, text), (2, None), (None, ""), (3, "  "), (4, "Ünïque ones"), (None, "no words lost here")], key=repr)
+
+
+def test_mixing_repeated_rows_and_missing_ids(spark):
+    """Equal rows are taken like any others, and each use brings the whole row."""
+    rows = [(1, "a b c", "s")] * 5 + [(None, "d e", "s")] * 3 + [(None, "f g h", None), (7, "one two three", "t"), (7, "one two", "t"), (8, None, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "9 AS position", "'q' AS _row", "'z' AS size")
+    mixed = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()]
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.uses
+    count = {}
+    for d, _, _ in mixed:
+        count[d] = count.get(d, 0) + 1
+    assert count == {d: n for d, n in taken.items() if n} and set(mixed) <= set(rows)
+
+
+def test_seekers_blocks_and_waves_lose_no_link(spark, monkeypatch):
+    """Groups of near copies whose pairs lie about the threshold, in blocks and waves of a few members."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(60)]
+        for c in range(40):
+            words = list(base)
+            for k in rng.choice(60, rng.integers(0, 4), replace=False):
+                words[k] = f"edit{g}x{c}x{k}"
+            rows.append((len(rows), " ".join(words[:60 - int(rng.integers(0, 8))])))
+    monkeypatch.setattr(minmax, "MEMBERS", 5)
+    monkeypatch.setattr(minmax, "SEEKERS", 7)
+    got = {r.doc_id: r.component_id for r in minmax.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: c for d, (_, c, _) in brute.near(rows).items()} if len(next(iter(brute.near(rows).values()))) == 3 else got == {
+        d: v[1] for d, v in brute.near(rows).items()}
+
+
+def test_working_tables_go_and_results_stay(spark):
+    import os
+
+    from shelfmark.llm import common
+
+    made = []
+
+    def build():
+        inner = common.stored(spark.range(100).repartition(4), "inner")
+        made.extend(inner.inputFiles())
+        return inner.groupBy((inner.id % 7).alias("k")).count()
+
+    out = common.settled(build, "outer")
+    assert made and not any(os.path.exists(f.removeprefix("file://")) for f in made)
+    assert out.count() == 7 and sum(r["count"] for r in out.collect()) == 100
