@@ -3,8 +3,8 @@
 A task cuts its texts into shards.  A shard's n-grams, sorted, make an acyclic
 automaton in one pass: equal prefixes share their arcs, every arc carries how
 often its n-gram occurs, and all longest n-grams end in one state.  It is held
-as arrays: per two-word prefix its weight and its arcs, per arc the third word
-and a weight.
+as arrays: per state what leads to it and its number of arcs, per arc the next
+word and a weight.
 
 Automata are cut by *prefix range* and sent there; a range's task unites them:
 equal paths become one, their weights are added.  Only paths whose weight
@@ -13,9 +13,9 @@ a candidate nor a part of one.  What is left is a relation (phrase, weight) in
 three levels; the parts of a candidate are looked up by composing it with that
 relation, an equi-join of arcs on the state they start from.
 
-No range is hot.  A prefix range is a range of two-word prefixes; below one
-prefix, arcs are dealt to ``SLICES`` ranges by the third word, so a pair of
-words that every document holds is spread as well.  A shard sends an n-gram
+No range is hot.  A prefix range is a range of states (one word, or two); the
+arcs of one state are dealt to ``SLICES`` ranges by their word, so a word or a
+pair of words that every document holds is spread as well.  A shard sends an n-gram
 once, however often it occurs.  Ranges grow in number with the text.
 
 Words carry their language: the same word of two languages is two labels.  A
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import common
-from shelfmark.llm.common import buffers, lower_bytes, mixed, packed, stored, unpacked, word_hashes
+from shelfmark.llm.common import blocks, buffers, lower_bytes, mixed, packed, stored, unpacked, word_hashes
 from shelfmark.skew import top_rows
 
 #: What ends a piece of text, and what else separates words.
@@ -47,8 +47,9 @@ ENDS, GAPS = ".,;:!?\n\x0b\x0c\r", " \t"
 #: Least weight of a candidate; a longer candidate with this share of its weight drops it; rows for each language.
 LEAST, SHARE_PERCENT, TOP = 10, 50, 2000
 NO_LANGUAGE = "und"
-#: Words of one shard (labels are numbered inside it, three numbers in 63 bits).
-SHARD_WORDS = 2_000_000
+#: Words of one shard (labels are numbered inside it, three numbers in 63 bits), and bytes of text split at once.
+SHARD_WORDS = 700_000
+BLOCK = 1 << 20
 #: N-grams of one range, and ranges that the arcs of one prefix are dealt to.
 RANGE_GRAMS, SLICES = 1 << 20, 16
 
@@ -60,20 +61,36 @@ _SALT = np.uint64(0x9E6C63D0876A9A47)
 _SHIFT = np.uint64(16)
 
 
-# --- shards ---------------------------------------------------------------
+# --- words ----------------------------------------------------------------
+
+def _slices(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes, row starts and rows of blocks of a batch; a long text is cut between words (its rest starts no row)."""
+    for first, last in blocks(at, BLOCK):
+        start, stop = int(at[first]), int(at[last])
+        if last > first + 1 or stop - start <= 2 * BLOCK:
+            yield data[start:stop], at[first:last] - start, np.arange(first, last)
+            continue
+        begin = start
+        while begin < stop:
+            gap = _GAP[data[begin + BLOCK:stop]]
+            end = begin + BLOCK + int(gap.argmax()) if gap.any() else stop
+            yield data[begin:end], np.zeros(int(begin == start), np.int64), np.array([first])
+            begin = end
+
 
-def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and piece number of every word."""
+def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and piece number of every word; rows start at ``starts``, and so do pieces."""
     inside = ~_GAP[data]
     edge = np.zeros(len(data) + 1, bool)
-    edge[at] = True
+    edge[starts] = True
+    edge[-1] = True
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1] | edge[1:-1]
     end[:-1] &= ~inside[1:] | edge[1:-1]
-    breaks = _END[data].astype(np.int64)
-    np.add.at(breaks, at[:-1][at[:-1] < len(data)], 1)
-    starts = np.flatnonzero(start)
-    return starts, np.flatnonzero(end) + 1, np.cumsum(breaks)[starts]
+    breaks = _END[data].astype(np.int32)
+    breaks[starts[starts < len(data)]] += 1
+    first = np.flatnonzero(start)
+    return first, np.flatnonzero(end) + 1, np.cumsum(breaks, dtype=np.int64)[first]
 
 
 def prefix_code(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -96,129 +113,157 @@ def _counts(values: np.ndarray) -> bytes:
 
 def _counted(blob: bytes, n: int) -> np.ndarray:
     out = np.frombuffer(blob, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(blob, "<i8", offset=n)
+    large = out == 255
+    out[large] = np.frombuffer(blob, "<i8", int(large.sum()), n)
     return out
 
 
+# --- shards ---------------------------------------------------------------
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+
+
 class Shard:
-    """The automaton of one shard, level by level, in sorted order."""
+    """The automaton of one shard: sorted n-grams, a level of arcs for each of their words."""
 
     def __init__(self, labels: np.ndarray, pieces: np.ndarray, lead: int):
         """``labels`` of consecutive words; n-grams start at one of the first ``lead``."""
         self.labels, ids = np.unique(labels, return_inverse=True)
-        self.single = np.bincount(ids[:lead], minlength=len(self.labels))
-        n = np.int64(len(self.labels))
+        self.n = n = np.int64(len(self.labels))
         together = pieces[1:] == pieces[:-1]
         pair = (ids[:-1] * n + ids[1:])[:lead]
-        self.pairs, self.pair_weight = np.unique(pair[together[:lead]], return_counts=True)
         triple = (ids[:-2] * n + ids[1:-1])[:lead] * n + ids[2:][:lead]
-        both = (together[:-1] & together[1:])[:lead]
-        self.triples, self.triple_weight = np.unique(triple[both], return_counts=True)
-        self.n = n
+        del ids
+        self.pairs, self.pair_weight = np.unique(pair[together[:lead]], return_counts=True)
+        self.triples, self.triple_weight = np.unique(triple[(together[:-1] & together[1:])[:lead]], return_counts=True)
 
-    def pair_labels(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.labels[pairs // self.n], self.labels[pairs % self.n]
+    def _level(self, from_: np.ndarray, width: int, to: np.ndarray, to_width: int, weight: np.ndarray, place: np.ndarray, level: int):
+        """Arcs in their ranges; what arcs of one state share is written once, with their number."""
+        order = np.argsort(place, kind="stable")
+        bounds = np.append(_runs(place[order]), len(order))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            rows = order[a:b]
+            states = from_[rows]
+            new = _runs(states)
+            arcs = np.diff(np.append(new, len(rows)))
+            yield (int(place[rows[0]]), level, np.int64(len(new)).tobytes() + packed(states[new], width) + packed(to[rows], to_width),
+                   _counts(np.concatenate((arcs, weight[rows]))))
 
     def cut(self, bits: int) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(range, level, labels, weights) of the second and third level."""
-        first, second = self.pair_labels(self.pairs)
-        place = _range_of(prefix_code(first, second), bits)
-        order = np.argsort(place, kind="stable")
-        for r, rows in _by_range(place[order], order):
-            yield r, 2, packed(first[rows], 8) + packed(second[rows], 8), _counts(self.pair_weight[rows])
-        prefix = prefix_code(*self.pair_labels(self.triples // self.n))
+        first, second = self.labels[self.pairs // self.n], self.labels[self.pairs % self.n]
+        yield from self._level(first, 8, second, 8, self.pair_weight, _slice_of(_range_of(first, bits), second, bits), 2)
+        del first, second
+        before = self.triples // self.n
+        prefix = prefix_code(self.labels[before // self.n], self.labels[before % self.n])
         third = self.labels[self.triples % self.n] >> _SHIFT
-        place = _slice_of(_range_of(prefix, bits), third, bits)
-        order = np.argsort(place, kind="stable")
-        for r, rows in _by_range(place[order], order):
-            # Arcs of one prefix are neighbours: the prefix is written once, with its number of arcs.
-            p = prefix[rows]
-            new = np.concatenate(([True], p[1:] != p[:-1]))
-            arcs = np.diff(np.append(np.flatnonzero(new), len(p)))
-            yield (r, 3, np.int64(len(arcs)).tobytes() + packed(_within(p[new], bits), 6) + packed(third[rows], 6),
-                   _counts(np.concatenate((arcs, self.triple_weight[rows]))))
+        yield from self._level(_within(prefix, bits), 6, third, 6, self.triple_weight, _slice_of(_range_of(prefix, bits), third, bits), 3)
+
 
+class Singles:
+    """The first level, with strings: distinct words of a shard, each with its language behind a line break."""
 
-def _by_range(places: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    at = np.append(np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1]))), len(places)) if len(places) else [0]
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        yield int(places[a]), order[a:b]
+    def __init__(self):
+        self.labels: list[np.ndarray] = []
+        self.weights: list[np.ndarray] = []
+        self.words: list[pa.Array] = []
 
+    def add(self, labels: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, languages: pa.Array, row: np.ndarray) -> None:
+        known, first, weight = np.unique(labels, return_index=True, return_counts=True)
+        self.labels.append(known)
+        self.weights.append(weight)
+        self.words.append(pc.binary_join_element_wise(
+            _strings(data, starts[first], ends[first]), languages.take(pa.array(row[first])).cast(pa.large_string()), pa.scalar("\n", pa.large_string())))
+
+    def cut(self, bits: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+        labels, first, back = np.unique(np.concatenate(self.labels), return_index=True, return_inverse=True)
+        weight = np.bincount(back, np.concatenate(self.weights)).astype(np.int64)
+        data, at = buffers(pa.concat_arrays(self.words).take(pa.array(first)))
+        bounds = np.append(_runs(_range_of(labels, bits)), len(labels))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield (int(_range_of(labels[a:a + 1], bits)[0]), 1,
+                   np.int64(b - a).tobytes() + packed(labels[a:b], 8) + data[at[a]:at[b]].tobytes(),
+                   _counts(np.concatenate((weight[a:b], np.diff(at[a:b + 1])))))
 
-def _range_of(prefix: np.ndarray, bits: int) -> np.ndarray:
-    return (prefix >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(prefix), np.int64)
+
+def _range_of(code: np.ndarray, bits: int) -> np.ndarray:
+    return (code >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(code), np.int64)
 
 
 def _within(prefix: np.ndarray, bits: int) -> np.ndarray:
-    """48 bits of the code that follow those of the range."""
-    return (prefix << np.uint64(bits)) >> _SHIFT
+    """The bits of the code that follow those of the range: 48, or as many as make 63 with them."""
+    return (prefix << np.uint64(bits)) >> np.uint64(64 - min(48, 63 - bits))
 
 
-def _slice_of(place: np.ndarray, third: np.ndarray, bits: int) -> np.ndarray:
-    """Range of an arc: the prefix's own, moved by the slice that the third word falls into."""
+def _slice_of(place: np.ndarray, to: np.ndarray, bits: int) -> np.ndarray:
+    """Range of an arc: its state's own, moved by the slice that the next word falls into."""
     many = 1 << bits
-    step = max(1, many // SLICES)
-    return (place + (third % np.uint64(SLICES)).astype(np.int64) * step) % many
+    return (place + (to % np.uint64(SLICES)).astype(np.int64) * max(1, many // SLICES)) % many
 
 
-def _own_range(place: int, third: np.ndarray, bits: int) -> np.ndarray:
+def _own_range(place: int, to: np.ndarray, bits: int) -> np.ndarray:
     many = 1 << bits
-    step = max(1, many // SLICES)
-    return (place - (third % np.uint64(SLICES)).astype(np.int64) * step) % many
+    return (place - (to % np.uint64(SLICES)).astype(np.int64) * max(1, many // SLICES)) % many
 
 
 CUT = "range int, level int, labels binary, weights binary"
 
 
-def _label_salts(languages: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """A 64-bit value for each row's language, and the languages."""
+def _language_salts(languages: pa.Array) -> np.ndarray:
+    """A 64-bit value for the language of each row."""
     codes = languages.dictionary_encode()
     data, at = buffers(codes.dictionary)
-    h = np.array([word_hashes(data[a:b], np.array([0]), np.array([b - a]))[0] if b > a else 0 for a, b in zip(at[:-1], at[1:])], np.uint64)
-    return mixed(h ^ _SALT)[codes.indices.to_numpy()], codes
+    h = [word_hashes(data, at[k:k + 1], at[k + 1:k + 2])[0] if at[k + 1] > at[k] else np.uint64(0) for k in range(len(at) - 1)]
+    return mixed(np.array(h, np.uint64) ^ _SALT)[codes.indices.to_numpy()]
 
 
 def cut_automata(docs: DataFrame, bits: int) -> DataFrame:
     """The shards' automata in pieces, one row per shard, level and range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, pieces, held, piece = [], [], 0, 0
+        singles = Singles()
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal labels, pieces, held, singles
+            every, piece_of = np.concatenate(labels), np.concatenate(pieces)
+            lead = len(every) if last else len(every) - 2
+            if singles.labels:
+                yield from _rows(singles.cut(bits))
+            yield from _rows(Shard(every, piece_of, lead).cut(bits))
+            pa.default_memory_pool().release_unused()
+            # The next shard starts with the two words that this one only looked at.
+            labels, pieces, held, singles = [every[lead:]], [piece_of[lead:]], len(every) - lead, Singles()
+
         for batch in batches:
             data, at = buffers(batch.column(0))
-            salts, codes = _label_salts(batch.column(1))
-            starts, ends, pieces = _words(lower_bytes(data), at)
-            data = lower_bytes(data)
-            row = np.searchsorted(at, starts, "right") - 1
-            for begin in range(0, len(starts), SHARD_WORDS):
-                lead = min(SHARD_WORDS, len(starts) - begin)
-                here = slice(begin, begin + lead + 2)
-                labels = mixed(word_hashes(data, starts[here], ends[here]) ^ salts[row[here]])
-                shard = Shard(labels, pieces[here], lead)
-                yield from _rows(shard.cut(bits))
-                yield from _rows(_singles(shard, labels[:lead], data, starts[begin:begin + lead], ends[begin:begin + lead],
-                                          codes, row[begin:begin + lead], bits))
+            salts = _language_salts(batch.column(1))
+            for part, begins, rows in _slices(data, at):
+                part = lower_bytes(part)
+                starts, ends, number = _words(part, begins)
+                if len(starts) == 0:
+                    piece += int(_END[part].any()) + len(begins)
+                    continue
+                row = rows[np.maximum(np.searchsorted(begins, starts, "right") - 1, 0)]
+                h = mixed(word_hashes(part, starts, ends) ^ salts[row])
+                singles.add(h, part, starts, ends, batch.column(1), row)
+                labels.append(h)
+                pieces.append(number + piece)
+                # A piece may go on in the next slice of a long text, so only what ended here counts.
+                piece += int(_END[part].sum()) + len(begins)
+                held += len(h)
+                if held >= SHARD_WORDS:
+                    yield from flush(False)
+        if labels:
+            yield from flush(True)
 
     texts = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang")).filter("text <> ''")
     return texts.mapInArrow(run, CUT)
 
 
-def _singles(shard: Shard, labels, data, starts, ends, codes, row, bits) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """The first level, with strings: an Arrow table per range."""
-    known, first = np.unique(labels, return_index=True)
-    weight = shard.single[np.searchsorted(shard.labels, known)]
-    place = _range_of(known, bits)  # labels are sorted, so ranges are, too
-    for r, rows in _by_range(place, np.arange(len(known))):
-        at = first[rows]
-        table = pa.table({
-            "label": pa.array(known[rows].view(np.int64)), "weight": pa.array(weight[rows].astype(np.int64)),
-            "lang": codes.dictionary.take(codes.indices.take(pa.array(row[at]))).cast(pa.string()),
-            "word": _strings(data, starts[at], ends[at]).cast(pa.string())})
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as writer:
-            writer.write_table(table)
-        yield r, 1, sink.getvalue().to_pybytes(), b""
-
-
-def _rows(cuts: Iterator[tuple[int, int, bytes, bytes]], most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def _rows(cuts: Iterator[tuple[int, int, bytes, bytes]], most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Batches of bounded size."""
     held, size = [], 0
     for cut in cuts:
@@ -251,8 +296,7 @@ def _united_rows(n: int, **columns) -> pa.Table:
 
 def _summed(columns: list[np.ndarray], weight: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Equal paths as one, their weights added; those below the threshold left out."""
-    mix = columns[0] if len(columns) == 1 else mixed(columns[0] * np.uint64(3) + mixed(columns[1] + _SALT))
-    order = np.argsort(mix, kind="stable")
+    order = np.argsort(mixed(columns[0] * np.uint64(3) + mixed(columns[1] + _SALT)), kind="stable")
     columns = [c[order] for c in columns]
     new = np.ones(len(order), bool)
     new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
@@ -262,55 +306,69 @@ def _summed(columns: list[np.ndarray], weight: np.ndarray) -> tuple[list[np.ndar
     return [c[at[keep]] for c in columns], total[keep]
 
 
+def _arcs(labels: list[bytes], weights: list[bytes], width: int, to_width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State, next word and weight of every arc of a level's pieces."""
+    from_, to, weight = [], [], []
+    for blob, counts in zip(labels, weights, strict=True):
+        states = int(np.frombuffer(blob, np.int64, 1)[0])
+        middle = 8 + width * states
+        n = (len(blob) - middle) // to_width
+        counts = _counted(counts, states + n)
+        from_.append(np.repeat(unpacked(blob[8:middle], width), counts[:states]))
+        to.append(unpacked(blob[middle:], to_width))
+        weight.append(counts[states:])
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (from_, to, weight))
+
+
+def _united_singles(labels: list[bytes], weights: list[bytes]) -> list[pa.Table]:
+    """Words of a range that are frequent enough, and how many words each language has here."""
+    known, weight, words = [], [], []
+    for blob, counts in zip(labels, weights, strict=True):
+        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        counts = _counted(counts, 2 * n)
+        known.append(np.frombuffer(blob, np.int64, n, 8) if n == 0 else unpacked(blob[8:8 + 8 * n], 8).view(np.int64))
+        weight.append(counts[:n])
+        at = np.concatenate(([0], np.cumsum(counts[n:])))
+        words.append(pa.LargeStringArray.from_buffers(n, pa.py_buffer(at), pa.py_buffer(blob[8 + 8 * n:])))
+    table = pa.table({"label": np.concatenate(known), "weight": np.concatenate(weight), "word": pa.chunked_array(words)})
+    table = table.group_by(["label", "word"]).aggregate([("weight", "sum")])
+    both = pc.split_pattern(table["word"], "\n", max_splits=1).combine_chunks()
+    word, lang = pc.list_element(both, 0).cast(pa.string()), pc.list_element(both, 1).cast(pa.string())
+    totals = pa.table({"lang": lang, "weight": table["weight_sum"]}).group_by("lang").aggregate([("weight", "sum")])
+    keep = pc.greater_equal(table["weight_sum"].combine_chunks(), LEAST)
+    kept = [x.filter(keep) for x in (lang, word, table["label"].combine_chunks(), table["weight_sum"].combine_chunks())]
+    return [_united_rows(len(totals), level=np.zeros(len(totals), np.int32), lang=totals["lang"].combine_chunks(),
+                         weight=totals["weight_sum"].combine_chunks()),
+            _united_rows(len(kept[0]), level=np.ones(len(kept[0]), np.int32), lang=kept[0], word=kept[1], first=kept[2], weight=kept[3])]
+
+
 def _united(key: tuple, table: pa.Table, bits: int) -> pa.Table:
     """The union of all shards' automata in one prefix range, as rows (level, labels, weight).
 
     Level 0 rows hold the number of words of a language in this range.
     """
-    place = int(key[0].as_py())
     level = table.column("level").to_numpy()
-    labels, weights = table.column("labels").to_pylist(), table.column("weights").to_pylist()
+    part = {k: [table.column(c).filter(pa.array(level == k)).to_pylist() for c in ("labels", "weights")] for k in (1, 2, 3)}
     out = [pa.schema(_TYPES).empty_table()]
-    singles = [pa.ipc.open_stream(labels[i]).read_all() for i in np.flatnonzero(level == 1)]
-    if singles:
-        words = pa.concat_tables(singles).group_by(["label", "lang", "word"]).aggregate([("weight", "sum")])
-        totals = words.group_by("lang").aggregate([("weight_sum", "sum")])
-        out.append(_united_rows(len(totals), level=np.zeros(len(totals)), lang=totals["lang"].combine_chunks(),
-                                weight=totals["weight_sum_sum"].combine_chunks()))
-        words = words.filter(pc.greater_equal(words["weight_sum"], LEAST))
-        out.append(_united_rows(len(words), level=np.ones(len(words)), lang=words["lang"].combine_chunks(),
-                                word=words["word"].combine_chunks(), first=words["label"].combine_chunks(),
-                                weight=words["weight_sum"].combine_chunks()))
-    first, second, weight = [], [], []
-    for i in np.flatnonzero(level == 2):
-        n = len(labels[i]) // 16
-        first.append(unpacked(labels[i][:8 * n], 8))
-        second.append(unpacked(labels[i][8 * n:], 8))
-        weight.append(_counted(weights[i], n))
-    if first:
-        (x, y), total = _summed([np.concatenate(first), np.concatenate(second)], np.concatenate(weight))
-        code = prefix_code(x, y) >> np.uint64(16 - bits)
-        out.append(_united_rows(len(x), level=np.full(len(x), 2), first=x.view(np.int64), second=y.view(np.int64),
+    if part[1][0]:
+        out += _united_singles(*part[1])
+    if part[2][0]:
+        first, second, weight = _arcs(*part[2], 8, 8)
+        (x, y), total = _summed([first, second], weight)
+        code = prefix_code(x, y) >> np.uint64(64 - bits - min(48, 63 - bits))
+        out.append(_united_rows(len(x), level=np.full(len(x), 2, np.int32), first=x.view(np.int64), second=y.view(np.int64),
                                 prefix=code.astype(np.int64), weight=total))
-    prefix, third, weight = [], [], []
-    for i in np.flatnonzero(level == 3):
-        arcs = int(np.frombuffer(labels[i], np.int64, 1)[0])
-        n = (len(labels[i]) - 8 - 6 * arcs) // 6
-        counts = _counted(weights[i], arcs + n)
-        to = unpacked(labels[i][8 + 6 * arcs:], 6)
-        own = _own_range(place, to, bits).astype(np.uint64) << np.uint64(48)
-        prefix.append(np.repeat(unpacked(labels[i][8:8 + 6 * arcs], 6), counts[:arcs]) | own)
-        third.append(to)
-        weight.append(counts[arcs:])
-    if prefix:
-        (p, t), total = _summed([np.concatenate(prefix), np.concatenate(third)], np.concatenate(weight))
-        out.append(_united_rows(len(p), level=np.full(len(p), 3), prefix=p.astype(np.int64), second=t.astype(np.int64), weight=total))
+    if part[3][0]:
+        prefix, third, weight = _arcs(*part[3], 6, 6)
+        own = _own_range(int(key[0].as_py()), third, bits).astype(np.uint64) << np.uint64(min(48, 63 - bits))
+        (p, t), total = _summed([prefix | own, third], weight)
+        out.append(_united_rows(len(p), level=np.full(len(p), 3, np.int32), prefix=p.astype(np.int64), second=t.astype(np.int64), weight=total))
     return pa.concat_tables(out)
 
 
 def range_bits(text_size: int) -> int:
     """Ranges (as a power of two) for this many bytes of text: about a word in six bytes, two n-grams a word."""
-    return min(15, max(0, int(text_size / 3 / RANGE_GRAMS).bit_length()))
+    return min(30, max(0, int(text_size / 3 / RANGE_GRAMS).bit_length()))
 
 
 def united(docs: DataFrame) -> DataFrame:

@@ -113,6 +113,7 @@ def test_collocations(docs, rows):
 
 def test_collocations_in_many_shards_and_ranges(docs, rows, monkeypatch):
     monkeypatch.setattr(collocations, "SHARD_WORDS", 1009)
+    monkeypatch.setattr(collocations, "BLOCK", 700)
     monkeypatch.setattr(collocations, "RANGE_GRAMS", 5000)
     assert phrases(collocations.collocations(docs, 50)) == brute.collocations([(la, t) for _, t, la in rows], 50)
 
