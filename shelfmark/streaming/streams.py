@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -80,60 +81,100 @@ def stream_sessions(results: DataFrame, gap: str = "3 minutes", key: str = "entr
 
 _GROUP_OUT = (
     "folder string, group_id string, pages int, declared int, outcome string")
-_GROUP_STATE = "seen array<int>, declared int, closed boolean"
+_GROUP_NAMES = [c.split()[0] for c in _GROUP_OUT.split(", ")]
+#: Documents of a bucket, as packed tables: one of documents, one of their pages.
+_GROUP_STATE = "documents binary, members binary"
+_OPEN, _WHOLE, _OVERFULL = 0, 1, 2
+_DOCUMENTS = {"declared": "int64", "told": "int8", "deadline": "int64"}
 
 
 def _group_step(timeout_ms: int, time: str):
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        folder, group = key
-        seen, declared, closed = (set(state.get[0]), *state.get[1:]) if state.exists else (set(), 0, False)
-        closed = None if closed is None else bool(closed)
-        if state.hasTimedOut:
-            state.remove()
-            if closed is not False:  # its outcome has been told
-                return
-            yield pd.DataFrame([(folder, group, len(seen), declared, "truncated")],
-                               columns=[c.split()[0] for c in _GROUP_OUT.split(", ")])
-            return
-        latest = state.getCurrentWatermarkMs()
-        for batch in batches:
-            seen.update(int(p) for p in batch["member"])
-            latest = max(latest, int(batch[time].max().timestamp() * 1000))
-            known = batch["declared"].max()
-            declared = max(declared, 0 if pd.isna(known) else int(known))
-        outcome = None
-        if declared and len(seen) > declared:
+    keys = ["folder", "group_id"]
+
+    # Helpers stand inside: the workers that run a step need not have this package.
+    def packed(frame: pd.DataFrame) -> bytes:
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(frame, preserve_index=False)
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    def unpacked(data: bytes) -> pd.DataFrame:
+        with pa.ipc.open_stream(data) as reader:
+            return reader.read_all().to_pandas()
+
+    def outcomes(documents: pd.DataFrame, outcome) -> pd.DataFrame:
+        return documents.assign(outcome=outcome).astype({"pages": "int32", "declared": "int32"})[_GROUP_NAMES]
+
+    def step(_bucket, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        text = {k: "object" for k in keys}
+        if state.exists:
+            documents, members = map(unpacked, state.get)
+        else:
+            documents = pd.DataFrame(columns=[*keys, *_DOCUMENTS]).astype(text | _DOCUMENTS)
+            members = pd.DataFrame(columns=[*keys, "member"]).astype(text | {"member": "int32"})
+        mark = state.getCurrentWatermarkMs()
+        arrived = [] if state.hasTimedOut else [b for b in batches if len(b)]
+        if arrived:
+            rows = pd.concat(arrived, ignore_index=True)
+            rows[time] = rows[time].dt.tz_localize(None) if rows[time].dt.tz is not None else rows[time]
+            rows["_ms"] = rows[time].astype("datetime64[ms]").astype("int64")
+            members = pd.concat([members, rows[[*keys, "member"]].astype({"member": "int32"})], ignore_index=True).drop_duplicates(ignore_index=True)
+            news = rows.groupby(keys, sort=False, dropna=False, as_index=False).agg(_declared=("declared", "max"), _latest=("_ms", "max"))
+            documents = documents.merge(news, on=keys, how="outer")
+            touched = documents["_latest"].notna()
+            documents["declared"] = documents[["declared", "_declared"]].max(axis=1).fillna(0).clip(lower=0).astype("int64")
+            documents["told"] = documents["told"].fillna(_OPEN).astype("int8")
+            # Counted from the latest page: before the first batch is over, the mark has not moved yet.
+            documents["deadline"] = (documents["_latest"].clip(lower=mark) + timeout_ms).where(touched, documents["deadline"]).astype("int64")
+            documents = documents.drop(columns=["_declared", "_latest"])
+            counts = members.groupby(keys, sort=False, dropna=False, as_index=False).agg(pages=("member", "size"))
+            documents = documents.merge(counts, on=keys, how="left")
+            known = touched.to_numpy() & (documents["declared"] > 0).to_numpy()
             # Said once, when it becomes known; a document that was complete is corrected.
-            outcome = "overfull" if closed is not None else None
-            closed = None
-        elif declared and len(seen) == declared and not closed:
-            outcome, closed = "complete", True
+            over = known & (documents["pages"] > documents["declared"]).to_numpy()
+            whole = known & (documents["pages"] == documents["declared"]).to_numpy() & (documents["told"] != _WHOLE).to_numpy()
+            yield outcomes(documents[whole], "complete")
+            yield outcomes(documents[over & (documents["told"] != _OVERFULL).to_numpy()], "overfull")
+            documents.loc[whole, "told"], documents.loc[over, "told"] = _WHOLE, _OVERFULL
+            documents = documents.drop(columns="pages")
+        late = (documents["deadline"] < mark).to_numpy()
+        if late.any():
+            gone = documents[late].merge(members, on=keys).groupby([*keys, "declared", "told"], sort=False, dropna=False, as_index=False).agg(
+                pages=("member", "size"))
+            # A told outcome is not told again.
+            yield outcomes(gone[gone["told"] == _OPEN], "truncated")
+            documents = documents[~late]
+            members = members.merge(documents[keys], on=keys)
         # A closed document is remembered until its time is over, so late pages don't open it anew.
-        state.update((sorted(seen), declared, closed))
-        # Counted from the latest page: before the first batch is over, the mark has not moved yet.
-        state.setTimeoutTimestamp(latest + timeout_ms)
-        if outcome:
-            yield pd.DataFrame([(folder, group, len(seen), declared, outcome)],
-                               columns=[c.split()[0] for c in _GROUP_OUT.split(", ")])
+        if len(documents):
+            state.update((packed(documents), packed(members)))
+            state.setTimeoutTimestamp(max(int(documents["deadline"].min()), mark + 1))
+        elif state.exists:
+            state.remove()
 
     return step
 
 
 def stream_groups(pages: DataFrame, timeout_ms: int = 3_600_000, delay: str = "10 minutes",
-                  time: str = "ts") -> DataFrame:
+                  time: str = "ts", buckets: int = 256) -> DataFrame:
     """T4: a document when its declared pages are all there, truncated on timeout, overfull beyond them.
 
     ``pages``: folder, group_id, page, is_thumb, declared, ts.  Repeats of a
     page are dropped before the grouping, keyed by page, so a document whose
     copies flood the stream reaches its state once per page; the state holds
-    page numbers only.
+    page numbers only.  Documents are dealt to ``buckets`` by their names, and a
+    bucket's documents are judged together: the calls of a micro-batch are as
+    many as its buckets, not its documents.  More open documents ask for more
+    buckets; the number is fixed for a checkpoint.
     """
     member = F.col("page") * 2 + F.col("is_thumb").cast("int")
     unique = (
         pages.withColumn("member", member.cast("int")).withWatermark(time, delay)
         .dropDuplicatesWithinWatermark(["folder", "group_id", "member"])
-        .select("folder", "group_id", "member", F.col("declared").cast("int"), time))
-    return unique.groupBy("folder", "group_id").applyInPandasWithState(
+        .select("folder", "group_id", "member", F.col("declared").cast("int"), time,
+                F.pmod(F.xxhash64("folder", "group_id"), F.lit(buckets)).alias("_bucket")))
+    return unique.groupBy("_bucket").applyInPandasWithState(
         _group_step(timeout_ms, time), _GROUP_OUT, _GROUP_STATE, "append",
         GroupStateTimeout.EventTimeTimeout)
 

@@ -92,6 +92,47 @@ def test_stream_groups_complete_and_truncated(spark, tmp_path):
     assert got == [("late", 1, "complete"), ("short", 1, "truncated"), ("whole", 2, "complete"), ("whole", 3, "overfull")]
 
 
+def test_stream_groups_judges_a_bucket_in_one_call(spark):
+    """Many documents make no more calls than buckets; a told outcome is not told again."""
+    import pandas as pd
+
+    from shelfmark.streaming import streams
+
+    class State:
+        exists, hasTimedOut, get, timeout = False, False, None, None
+
+        def getCurrentWatermarkMs(self):
+            return self.mark
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+        def setTimeoutTimestamp(self, at):
+            self.timeout = at
+
+    def rows(pages, day):
+        return pd.DataFrame([("/f", str(d), p, 2, pd.Timestamp(f"2024-01-{day:02d}")) for d, p in pages],
+                            columns=["folder", "group_id", "member", "declared", "ts"])
+
+    def told(state, pages=None, day=1):
+        parts = streams._group_step(3_600_000, "ts")((0,), iter([] if pages is None else [rows(pages, day)]), state)
+        return sorted((r.group_id, r.pages, r.outcome) for part in parts for r in part.itertuples())
+
+    state = State()
+    state.mark = 0
+    first = told(state, [(d, p) for d in range(1000) for p in ((0, 1) if d % 2 else (0,))])
+    assert first == sorted((str(d), 2, "complete") for d in range(1, 1000, 2))
+    assert told(state, [(1, 0), (1, 2), (2, 1)], 1) == [("1", 3, "overfull"), ("2", 2, "complete")]
+    assert told(state, [(1, 3)], 2) == []
+    state.mark, state.hasTimedOut = state.timeout + 10, True
+    assert told(state) == sorted((str(d), 1, "truncated") for d in range(0, 1000, 2) if d != 2)
+    state.mark = state.timeout + 10
+    assert told(state) == [] and not state.exists
+
+
 def test_saved_again_is_another_state_and_a_replay_changes_nothing(spark, tmp_path):
     from shelfmark.streaming import streams
 
