@@ -6,7 +6,7 @@ them, every long run of encoding letters is a candidate (kind ``random``):
 * its encoding (decimal, hex, base32, letters and digits, base64) is inferred
   from the letters it uses; dictionary-like runs infer a one-case alphabet;
 * what is not random is learned from the corpus itself: letter pairs of distinct
-  words (in the opening of every document), and of the distinct candidates of
+  words (of all whole texts), and of the distinct candidates of
   the same encoding, each counting once and never for itself.  The
   likelihood of the run under uniform letters over that under these pairs is
   its evidence; one over it bounds the p-value of "no more random than what the
@@ -61,8 +61,6 @@ USUAL = (*[800] * 10, 8167, 1492, 2782, 4253, 12702, 2228, 2015, 6094, 6966, 153
          2758, 978, 2360, 150, 1974, 74, *[300] * 4)
 #: Letters read that weigh as much as that; pairs that weigh as much as single letters; candidates, as text around them.
 USUAL_LETTERS, USUAL_PAIRS, USUAL_RUNS = 1000, 20, 2
-#: Letters of each document that the pairs of text are counted in.
-OPENING = 400
 #: A candidate counts once, in parts of this.
 WEIGHT = 1 << 30
 #: The three statistics speak against uniform letters below this probability.
@@ -146,8 +144,8 @@ def pairs_of(v: Column) -> Column:
 
 
 def text_pairs(docs: DataFrame) -> np.ndarray:
-    """Pairs of letters in the distinct words of the openings of all documents, too short to be candidates."""
-    words = F.split(F.lower(F.substring(whole_text(), 1, OPENING)), "[^0-9a-z+/_-]+")
+    """Pairs of letters in the distinct words of all whole texts, too short to be candidates."""
+    words = F.split(F.lower(whole_text()), "[^0-9a-z+/_-]+")
     words = docs.select(F.explode(words).alias("word")).filter(F.length("word").between(2, 19)).distinct()
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, 2)))
     counts = words.select(pair.alias("pair")).groupBy("pair").count()

@@ -310,3 +310,12 @@ def test_empty_table(spark, empty, tmp_path, name):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     query = next(f for n, f in QUERIES.items() if n.startswith(f"{name}_"))
     assert query(spark, str(tmp_path)).count() == 0
+
+
+def test_secrets_learn_letter_pairs_from_whole_texts(spark):
+    from shelfmark.llm import secrets
+
+    docs = spark.createDataFrame([(1, "ab " * 500 + "zq"), (2, None)], "doc_id long, text string")
+    counts = secrets.text_pairs(docs)
+    at = secrets.FOLDED.index
+    assert counts[at("z"), at("q")] == 1 and counts[at("a"), at("b")] == 1
