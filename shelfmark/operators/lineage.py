@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark import fixed_values as fv
 from shelfmark import skew
 from shelfmark.functions import records as R
+from shelfmark.functions.numbers import recorded_number
 from shelfmark.functions.recipes import parse_recipe
 from shelfmark.operators.policy import classify_reencode
 
@@ -39,7 +40,7 @@ def merge_lineage(df: DataFrame, description="description", software="software",
     staged = R.with_merged_chain(df, description, software, history, "_merged")
     stored = R.merged_stored_gen(F.col(description), F.col(software), F.col(history))
     counted = F.size(F.filter(
-        "_merged", lambda x: F.coalesce(x["d"].try_cast("double") > 0, F.lit(False))))
+        "_merged", lambda x: F.coalesce(recorded_number(x["d"]) > 0, F.lit(False))))
     text = F.array_join(F.transform("_merged", lambda x: F.concat(
         F.lit("cjxl d="), x["d"], F.lit(" e="), x["e"])), " | ")
     return (
