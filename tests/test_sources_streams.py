@@ -189,3 +189,18 @@ def test_a_number_no_page_can_have_is_part_of_the_name(spark):
     df = spark.createDataFrame([("DSC_page20240101123456",), ("DSC_page3",)], "stem string")
     got = {r.stem: (r.p.stem, r.p.page) for r in df.withColumn("p", P.parse_page_name("stem")).collect()}
     assert got == {"DSC_page20240101123456": ("DSC_page20240101123456", 0), "DSC_page3": ("DSC", 3)}
+
+
+def test_scan_assets_lists_many_folders_a_task(spark, tmp_path):
+    for n in range(260):
+        folder = tmp_path / "lib" / f"f{n}"
+        folder.mkdir(parents=True)
+        (folder / "a.tif").write_bytes(b"x" * (n + 1))
+    context = spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    found = assets.scan_assets(spark, str(tmp_path / "lib"), ["tif"])
+    jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup("listing")]
+    stages = [context.statusTracker().getStageInfo(s) for job in jobs for s in job.stageIds]
+    context.setJobGroup("rest", "rest")
+    assert stages and max(s.numTasks for s in stages) <= 200
+    assert found.count() == 260

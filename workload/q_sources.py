@@ -16,7 +16,9 @@ from workload.registry import query
 def scan_assets(s):
     """Documents written out as files of their own, then listed, never opened."""
     folder = working_path(s.spark, "library")
-    s.documents.select("text", "source", "doc_id").repartition("source", "doc_id").write.partitionBy("source", "doc_id").text(folder)
+    # Files cost time, not bytes: with their number named, partitions are not merged because they are small.
+    tasks = int(s.spark.conf.get("spark.sql.shuffle.partitions"))
+    s.documents.select("text", "source", "doc_id").repartition(tasks, "source", "doc_id").write.partitionBy("source", "doc_id").text(folder)
     found = assets.scan_assets(s.spark, folder, ["TXT"])
     place = lambda key: F.regexp_extract("path", f"/{key}=([^/]*)/", 1)
     return found.select(place("doc_id").cast("bigint").alias("doc_id"), place("source").alias("source"), "size")
