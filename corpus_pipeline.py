@@ -40,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, their count, and the digest of the text decoded from them."""
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), vocabulary_file()), vocabulary_file())
-    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = bpe.encoded(docs.select("doc_id", "source", "text"), vocabulary_file())
+    return out.select("doc_id", "source", "n_tokens", "ids", "decoded_sha256")
 
 
 def _tuned(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:

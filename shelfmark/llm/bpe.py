@@ -31,6 +31,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Entries that a task remembers before it starts anew: bounds memory only.
 REMEMBERED = 400_000
 LONGEST_REMEMBERED = 64
+#: Texts that ``encoded`` has in hand at once.
+ROWS = 500
 
 
 def byte_letters() -> dict[str, int]:
@@ -69,7 +71,7 @@ class Vocabulary:
         self.split = regex.compile(SPLIT)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._known: dict[str, bytes] = {}
-        self._fragments: dict[bytes, list[int]] = {}
+        self._fragments: dict[bytes, bytes] = {}
 
     def cuts(self, piece: bytes) -> list[bytes]:
         """The fragments of a pre-token between forced boundaries."""
@@ -102,19 +104,22 @@ class Vocabulary:
                 heapq.heappush(heap, (found[0], h, ids[h], new, found[1]))
         return [x for x in ids if x >= 0]
 
+    def fragment(self, raw: bytes) -> bytes:
+        """Ids of one of a pre-token's fragments, packed."""
+        found = self._fragments.get(raw)
+        if found is None:
+            found = np.array(self.merge(raw), "<u4").tobytes()
+            if len(raw) <= LONGEST_REMEMBERED:
+                if len(self._fragments) >= REMEMBERED:
+                    self._fragments.clear()
+                self._fragments[raw] = found
+        return found
+
     def piece(self, text: str) -> bytes:
         """Ids of one pre-token, packed."""
-        out: list[int] = []
-        for fragment in self.cuts(text.encode()):
-            found = self._fragments.get(fragment)
-            if found is None:
-                found = self.merge(fragment)
-                if len(fragment) <= LONGEST_REMEMBERED:
-                    if len(self._fragments) >= REMEMBERED:
-                        self._fragments.clear()
-                    self._fragments[fragment] = found
-            out += found
-        packed = np.array(out, "<u4").tobytes()
+        fragments = self.cuts(text.encode())
+        # A pre-token without cuts is remembered as itself, not as its only fragment too.
+        packed = b"".join(map(self.fragment, fragments)) if len(fragments) > 1 else np.array(self.merge(fragments[0]), "<u4").tobytes()
         if len(text) <= LONGEST_REMEMBERED:
             if len(self._known) >= REMEMBERED:
                 self._known.clear()
@@ -184,6 +189,30 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     return docs.select(*map(quoted, order)).mapInArrow(run, schema)
 
 
+def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` with token ids in the place of the text, their number, and the digest of the text decoded from them.
+
+    Texts go to Python once and do not come back: one process a task, not one for each direction.
+    """
+    order = [c for c in docs.columns if c != text]
+    kept = "".join(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}, " for c in order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for batch in batches:
+            texts = batch.column(len(order))
+            for a in range(0, len(texts), ROWS):
+                packed = [v.encode(x or "") for x in texts[a:a + ROWS].to_pylist()]
+                at = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    *(c[a:a + ROWS] for c in batch.columns[:-1]), pa.array(np.diff(at).astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(packed), "<i4"))),
+                    pa.array([hashlib.sha256(v.decode(x).encode()).hexdigest() for x in packed], pa.string())],
+                    names=[*order, "n_tokens", "ids", "decoded_sha256"])
+
+    return docs.select(*map(quoted, [*order, text])).mapInArrow(run, f"{kept}n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: number of ids, their digest, and the digest of the text decoded from them."""
 

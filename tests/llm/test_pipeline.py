@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from shelfmark.llm import minmax, mixing, quality
+from shelfmark.llm import bpe, minmax, mixing, quality
 from shelfmark.llm.common import documents, stored
 from shelfmark.llm.queries import vocabulary_file
 from tests.llm import brute
@@ -53,6 +53,19 @@ def test_ids_decode_to_the_stage_input(spark):
     assert sorted((r.doc_id, r.decoded_sha256) for r in got.collect()) == want
 
 
+def test_encoding_takes_one_python_process_a_task_and_remembers_a_piece_once(spark):
+    docs = documents(spark, SF).limit(300)
+    out = corpus_pipeline.encode(spark, docs, SF)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), vocabulary_file()), vocabulary_file())
+    assert sorted((r.doc_id, r.n_tokens, r.ids, r.decoded_sha256) for r in out.collect()) == sorted(
+        (r.doc_id, len(r.ids), r.ids, brute.sha(r.decoded)) for r in both.collect())
+    v = bpe.Vocabulary(vocabulary_file())
+    for x in (whole := [" the", " reading", "12"]):
+        assert len(v.cuts(x.encode())) == 1 and v.piece(x)
+    assert list(v._known) == whole and not v._fragments
+
+
 def test_empty_and_awkward_tables(spark, tmp_path):
     kind = "doc_id long, text string, lang string, source string, n_chars long, kept int, position string"
     for k, rows in enumerate(([], [(1, None, None, None, None, 1, "p"), (None, "a b c " * 30, "en", "s", 3, 2, None), (2, "", "en", "s", 0, 3, "q")])):
