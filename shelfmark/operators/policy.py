@@ -212,11 +212,12 @@ def plan_pages(pages: DataFrame, cfg: PolicyConfig = PolicyConfig(), keys=("path
         .drop("_real", "_thumbs", "_any_thumb"))
 
 
-def unarchivable(pages: DataFrame, tags: DataFrame, keys=("path",)) -> DataFrame:
+def unarchivable(pages: DataFrame, tags: DataFrame | None = None, keys=("path",)) -> DataFrame:
     """Content an archive would not keep as it is, first reason per source.
 
     ``pages`` brings ``bits_per_sample array<int>``; ``tags`` one row per
-    private tag with ``page, code, type, size``.
+    private tag with ``page, code, type, size``.  Without ``tags`` each row of
+    ``pages`` brings one tag of its page itself, and is read once.
     """
     keys = list(keys)
     candidate = (
@@ -226,15 +227,21 @@ def unarchivable(pages: DataFrame, tags: DataFrame, keys=("path",)) -> DataFrame
     layers = F.col("code") == fv.LAYERS_TAG
     odd = F.exists("bits_per_sample", lambda b: ~b.isin(8, 16))
     # Lowest page first; on one page layers, then oversized tags, then samples.
-    found = (
-        tags.filter(layers | candidate)
-        .select(*keys, "page", F.when(layers, F.lit(0)).otherwise(F.lit(1)).alias("step"))
-        .unionByName(pages.filter(odd).select(*keys, "page", F.lit(2).alias("step"))))
+    by_tag, by_depth = F.when(layers, F.lit(0)).when(candidate, F.lit(1)), F.when(odd, F.lit(2))
+    if tags is None:
+        found = pages.select(*keys, "page", F.coalesce(by_tag, by_depth).alias("step")).filter("step IS NOT NULL")
+    else:
+        found = (
+            tags.select(*keys, "page", by_tag.alias("step")).filter("step IS NOT NULL")
+            .unionByName(pages.select(*keys, "page", by_depth.alias("step")).filter("step IS NOT NULL")))
+    # Page and step as one number: its least needs a hash table, where the least of a struct sorts all rows.
+    # An unknown page comes first.
+    first = F.coalesce(F.col("page").cast("long"), F.lit(-1 << 40)) * 4 + F.col("step")
     return (
-        found.groupBy(*keys).agg(F.min(F.struct("page", "step")).alias("_first"))
+        found.select(*keys, first.alias("_at")).groupBy(*keys).agg(F.min("_at").alias("_first"))
         .withColumn("unarchivable", F.element_at(F.array(
             F.lit("layers"), F.lit("private tag too large"), F.lit("sample depth")),
-            F.col("_first.step") + 1))
+            F.pmod(F.col("_first"), F.lit(4)).cast("int") + 1))
         .drop("_first"))
 
 

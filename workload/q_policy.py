@@ -156,11 +156,10 @@ def inherit_profile(s):
 def unarchivable_content(s):
     code = (F.when(F.col("samples") == 1, 37724).when(F.col("samples") == 2, 50001)
             .when(F.col("samples") == 4, 34377).otherwise(100))
-    tags = s.v_pages.select("path", "page", code.alias("code"), F.lit(7).alias("type"),
-                            (F.col("width") * 10).alias("size"))
     depth = F.when(F.col("photometric") == 6, 32).otherwise(F.col("bits"))
-    depths = s.v_pages.select("path", "page", F.array(F.lit(16), depth).alias("bits_per_sample"))
-    return policy.unarchivable(depths, tags)
+    return policy.unarchivable(s.v_pages.select(
+        "path", "page", code.alias("code"), F.lit(7).alias("type"), (F.col("width") * 10).alias("size"),
+        F.array(F.lit(16), depth).alias("bits_per_sample")))
 
 
 @query("output_depth", "P40", """
