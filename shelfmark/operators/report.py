@@ -314,10 +314,11 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
 def layout_diff(present: DataFrame, planned: DataFrame) -> DataFrame:
     """Pages present but not planned, and planned but not present."""
     columns = present.columns
-    extra = present.exceptAll(planned.select(*columns)).distinct()
-    missing = planned.select(*columns).exceptAll(present).distinct()
-    return extra.withColumn("side", F.lit("stale")).unionByName(
-        missing.withColumn("side", F.lit("missing")))
+    # Both differences are the sign of one count: rows cross one exchange, as one row per value and task.
+    both = present.withColumn("_n", F.lit(1)).unionByName(planned.select(*columns).withColumn("_n", F.lit(-1)))
+    return (
+        both.groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+        .select(*columns, F.when(F.col("_n") > 0, F.lit("stale")).otherwise(F.lit("missing")).alias("side")))
 
 
 def union_plans(*plans: DataFrame) -> DataFrame:
