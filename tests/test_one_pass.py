@@ -1,7 +1,8 @@
 """Queries that read their rows once and keep no more of them than a hash table holds."""
 
+import workload.all  # noqa: F401  (registers every query)
 from shelfmark import fixed_values as fv
-from shelfmark.operators import policy, report
+from shelfmark.operators import groups, policy, report
 from workload.registry import REGISTRY
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,19 @@ def test_layout_diff_takes_both_sides_from_one_count(spark):
     # As EXCEPT ALL has it: a value that is present more often than planned is stale.
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([
         ("a", 0, "stale"), (None, 2, "stale"), ("b", None, "missing"), ("d", 3, "missing")], key=repr)
+
+
+def test_only_places_with_several_entries_are_sent_back_to_the_rows(spark):
+    schema = "path string, folder string, group_id string, page int, is_thumb boolean, subfiletype int"
+    rows = [("b", "f", "g", 0, False, 0), ("a", "f", "g", 0, False, 0), ("c", "f", "g", 1, True, 1), ("d", "f", "g", 1, True, 1),
+            ("e", "f", "g", 2, True, 1), (None, "f", "g", 3, False, 0), ("h", None, "g", 0, False, 0), ("i", "f", None, 0, True, 1),
+            ("j", "f", "g", None, False, 0), ("k", "f", "g", 4, None, 1)]
+    got = groups.demote_duplicates(spark.createDataFrame(rows, schema))
+    assert "(_n" in plan(got)
+    assert sorted([(r.path, r.standalone, r.is_thumb, r.subfiletype) for r in got.collect()], key=repr) == sorted([
+        ("a", False, False, 0), ("b", True, False, 0), ("c", False, True, 1), ("d", True, False, 0), ("e", False, True, 1),
+        (None, True, False, 0), ("h", True, False, 0), ("i", True, False, 0), ("j", True, False, 0), ("k", True, None, 1)], key=repr)
+
+
+def test_split_by_content_settles_its_entries_once(spark):
+    assert "lineitem" not in plan(REGISTRY["split_by_content"].run(spark, SF))
