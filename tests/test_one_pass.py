@@ -1,5 +1,7 @@
 """Queries that read their rows once and keep no more of them than a hash table holds."""
 
+import re
+
 import workload.all  # noqa: F401  (registers every query)
 from shelfmark import fixed_values as fv
 from shelfmark.operators import groups, policy, report
@@ -52,3 +54,14 @@ def test_only_places_with_several_entries_are_sent_back_to_the_rows(spark):
 
 def test_split_by_content_settles_its_entries_once(spark):
     assert "lineitem" not in plan(REGISTRY["split_by_content"].run(spark, SF))
+
+
+def test_only_overfull_groups_are_judged_by_their_buckets(spark):
+    schema = "path string, folder string, group_id string, page int, is_thumb boolean, declared int, content_id string"
+    rows = [(f"{g}{k}", "f", g, k, False, n, c) for g, n, cs in (
+        ("over", 2, "xxy"), ("tie", 1, "xy"), ("whole", 2, "xy"), ("odd", None, "xyz")) for k, c in enumerate(cs)]
+    got = groups.split_by_content(spark.createDataFrame(rows, schema))
+    assert re.search(r"Filter .*#\d+L > cast\(", plan(got))
+    assert {r.path: r.role for r in got.collect()} == {
+        "over0": "member", "over1": "member", "over2": "orphan", "tie0": "conflict", "tie1": "conflict", "whole0": "member",
+        "whole1": "member", "odd0": "member", "odd1": "member", "odd2": "member"}
