@@ -106,29 +106,39 @@ def _covering(folder: str) -> Column:
     return F.concat(F.coalesce(top, F.array().cast("array<string>")), P.ancestors(folder))
 
 
-def _named(assets: DataFrame) -> DataFrame:
-    return assets.select(P.parent("path").alias("at"), P.file_name("path").alias("file"))
+def _named(assets: DataFrame, where: LayoutConfig) -> DataFrame:
+    """Each file's folder and name, the name it gets without a rename and that name's stem: once a file, not once a run."""
+    named = assets.select(P.parent("path").alias("at"), P.file_name("path").alias("file"))
+    out = F.col("file") if where.extension is None else F.concat(P.stem_of("file"), F.lit(where.extension))
+    return named.withColumn("_out", out).withColumn("_stem", P.stem_of("_out"))
 
 
-def _written_name(where: LayoutConfig) -> Column:
-    """The name that a run gives to ``file``; NULL if it leaves the file out."""
+def written_files(pairs: DataFrame, assets: DataFrame, where: LayoutConfig) -> DataFrame:
+    """``pairs`` (at, naming) with the ``name`` that they give to each file of the folder; files left out are gone.
+
+    The name comes out of a generator, so it is computed once per row.
+    """
     file = F.col("file")
-    out = file if where.extension is None else F.concat(P.stem_of(file), F.lit(where.extension))
     taken = (F.col("only") == "") | (F.when(F.col("folds"), F.lower(file)).otherwise(file) == F.col("only"))
-    return F.when(taken, P.apply_rename(out, F.col("rename_from"), F.col("rename_to")))
+    name = F.when(taken, P.apply_rename("_out", F.col("rename_from"), F.col("rename_to"), F.col("_stem")))
+    return pairs.join(_named(assets, where), "at").select(*pairs.columns, F.explode(F.array_compact(F.array(name))).alias("name"))
 
 
 def reached_folders(runs: DataFrame, assets: DataFrame, direction: str, where: LayoutConfig | None = None) -> DataFrame:
     """Every folder ``at`` that a run reads, with the folder that it writes ``into`` from there.
 
     Folders, not files, meet the Sources: where a file lands depends on its
-    folder alone.  Two exceptions carry the name they are about in ``only``
+    folder alone.  Folders are few bytes and much work: they are dealt to as
+    many tasks as a shuffle has, where the adaptive planner would leave them in
+    one.  Two exceptions carry the name they are about in ``only``
     (empty: none): a Source that is a file, and files right inside a marker
     folder, which mode 7 takes only if they are called like its subfolder
     (``folds``: in any case).
     """
     where = where or layout_for(LAYOUT_OF[direction])
-    folders = assets.select(P.parent("path").alias("at")).distinct()
+    tasks = int(assets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # By a hash: dealt by the folder itself, as for DISTINCT, the second exchange would be left out as needless.
+    folders = assets.select(P.parent("path").alias("at")).distinct().repartition(tasks, F.xxhash64("at"))
     covered = folders.select("at", F.explode(_covering("at")).alias("source"))
     flat = F.col("mode").isin(*manifest.FLAT_MODES)
     below = covered.join(runs, "source").filter(~flat | (F.col("at") == F.col("source"))).withColumn("file", F.lit(None).cast("string"))
@@ -155,7 +165,7 @@ def written_folders(reached: DataFrame, assets: DataFrame, where: LayoutConfig)
     picky = (F.col("folds") & (F.col("only") != "")) | ((F.col("rename_from") != "") & (F.trim("rename_to") == ""))
     keys = ["at", *_NAMING]
     asked = reached.filter(picky).select(*keys).distinct()
-    alive = asked.join(_named(assets), "at").filter(_written_name(where).isNotNull()).select(*keys).distinct()
+    alive = written_files(asked, assets, where).select(*keys).distinct()
     return reached.filter(~picky).unionByName(reached.filter(picky).join(alive, keys, "left_semi"))
 
 
@@ -173,8 +183,7 @@ def cross_row_collisions(reached: DataFrame, writers: DataFrame, assets: DataFra
         reached.join(several, "into", "left_semi").groupBy("at", "into", *_NAMING).agg(
             F.min("run").alias("row_no"), F.max("last_row").alias("last"), F.sum("n_rows").alias("n"),
             F.xxhash64(F.bit_xor(F.xxhash64("run")), F.bit_xor(F.xxhash64("run", F.lit(1))), F.count(F.lit(1))).alias("set")))
-    written = sets.join(_named(assets), "at").withColumn("name", _written_name(where)).filter("name IS NOT NULL")
-    by_set = materialise(written.groupBy("into", "name", "set").agg(
+    by_set = materialise(written_files(sets, assets, where).groupBy("into", "name", "set").agg(
         F.first("row_no").alias("row_no"), F.first("last").alias("last"), F.first("n").alias("n")))
     by_dest = by_set.groupBy("into", "name").agg(
         F.min("row_no").alias("row_no"), F.max("last").alias("last"), F.max("n").alias("n"), F.count(F.lit(1)).alias("sets"))
