@@ -19,7 +19,7 @@ from shelfmark.session import tune
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules together find good; the others go."""
-    return unfolded(quality.judged(folded(docs)).filter("kept"), docs.columns)
+    return unfolded(quality.good(folded(docs)), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
