@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import uuid
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,3 +66,31 @@ def write_plan(df: DataFrame, path: str, dest: str = "dest", shards: int = 64) -
         .hint("rebalance", "dest_shard")
         .sortWithinPartitions("dest_shard", "dest_dir")
         .write.mode("overwrite").partitionBy("dest_shard").parquet(path))
+
+
+def write_files(df: DataFrame, folder: str, name: str, text: str) -> int:
+    """Each row's text and a line end as a file of its own, ``name`` below a folder of a mounted file system; how many.
+
+    Spark's text writer starts a process or two for every file and folder it
+    makes there.  A file gets its name when it is whole, so a task that runs
+    again writes the same files.
+    """
+    root = unquote(urlsplit(folder).path)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
+        for batch in batches:
+            for below, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path = os.path.join(root, below)
+                parent = os.path.dirname(path)
+                if parent not in made:
+                    os.makedirs(parent, exist_ok=True)
+                    made.add(parent)
+                partial = os.path.join(parent, f".{uuid.uuid4().hex}")
+                with open(partial, "wb") as file:
+                    file.write((value or "").encode() + b"\n")
+                os.replace(partial, path)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    written = df.select(F.col(name).alias("name"), F.col(text).alias("text")).mapInArrow(write, "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

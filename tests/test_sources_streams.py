@@ -204,3 +204,27 @@ def test_scan_assets_lists_many_folders_a_task(spark, tmp_path):
     context.setJobGroup("rest", "rest")
     assert stages and max(s.numTasks for s in stages) <= 200
     assert found.count() == 260
+
+
+def test_files_of_documents_lie_in_one_folder_a_source(spark, tmp_path):
+    from workload.q_sources import scan_assets
+
+    from types import SimpleNamespace
+
+    rows = [(1, "a b+c%2F*é", "x"), (2, "src1", "yé"), (3, "src1", ""), (4, None, "z"), (5, "..", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = scan_assets(SimpleNamespace(spark=spark, documents=docs))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [(i, source, len(text.encode()) + 1) for i, source, text in rows], key=str)
+    assert len({f.rsplit("/", 1)[0] for f in found.sparkSession.read.format("binaryFile").load(
+        sorted({f.rsplit("/", 2)[0] for f in found.inputFiles()}), recursiveFileLookup="true").inputFiles()}) == 4
+
+
+def test_a_file_written_twice_is_the_same_file(spark, tmp_path):
+    from shelfmark.sources import sinks
+
+    docs = spark.createDataFrame([("a/x.txt", "one"), ("b/c/y.txt", "two")], "name string, text string")
+    for _ in range(2):
+        assert sinks.write_files(docs, f"file://{tmp_path}/a%20b", "name", "text") == 2
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()) == ["a b/a/x.txt", "a b/b/c/y.txt"]
+    assert (tmp_path / "a b" / "b" / "c" / "y.txt").read_bytes() == b"two\n"

@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths as P
-from shelfmark.session import working_path
+from shelfmark.session import is_mounted, working_path
 from shelfmark.sources import assets, checksums, manifest_csv, meta, sinks
 from workload.q_sync import JOURNAL, journal_lines, plan
 from workload.registry import query
 
+#: What Spark names the folder of rows without a value.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
 
 @query("scan_assets", "S1", """
     SELECT doc_id, source, CAST(strlen(text) + 1 AS BIGINT) AS size FROM documents""")
 def scan_assets(s):
     """Documents written out as files of their own, then listed, never opened."""
     folder = working_path(s.spark, "library")
-    # Files cost time, not bytes: with their number named, partitions are not merged because they are small.
-    tasks = int(s.spark.conf.get("spark.sql.shuffle.partitions"))
-    s.documents.select("text", "source", "doc_id").repartition(tasks, "source", "doc_id").write.partitionBy("source", "doc_id").text(folder)
+    if is_mounted(s.spark, folder):
+        key = F.replace(F.url_encode(F.coalesce("source", F.lit(NO_VALUE))), F.lit("*"), F.lit("%2A"))
+        name = F.concat(F.lit("source="), key, F.lit("/doc_id="), F.col("doc_id").cast("string"), F.lit(".txt"))
+        sinks.write_files(s.documents.select(name.alias("name"), "text"), folder, "name", "text")
+    else:
+        # A store that only Spark's writers reach: a folder per document. Files cost time, not bytes: with their number
+        # named, partitions are not merged because they are small.
+        tasks = int(s.spark.conf.get("spark.sql.shuffle.partitions"))
+        s.documents.select("text", "source", "doc_id").repartition(tasks, "source", "doc_id").write.partitionBy("source", "doc_id").text(folder)
     found = assets.scan_assets(s.spark, folder, ["TXT"])
-    place = lambda key: F.regexp_extract("path", f"/{key}=([^/]*)/", 1)
-    return found.select(place("doc_id").cast("bigint").alias("doc_id"), place("source").alias("source"), "size")
+    place = lambda key, end: F.regexp_extract("path", f"/{key}=([^/]*?){end}", 1)
+    return found.select(place("doc_id", "(?:/|[.]txt$)").cast("bigint").alias("doc_id"),
+                        F.nullif(F.url_decode(place("source", "/")), F.lit(NO_VALUE)).alias("source"), "size")
 
 
 @query("read_metadata", "S2", """
