@@ -249,12 +249,13 @@ def hold_groups(plan: DataFrame) -> DataFrame:
 
 def complete_sources(plan: DataFrame, results: DataFrame) -> DataFrame:
     """Sources whose every planned output was written by this run."""
-    written = (
-        results.filter(F.col("status").isin("ok", "overwrite"))
-        .select("src", "dest").distinct().withColumn("_written", F.lit(True)))
+    # Planned and written outputs are told apart by bits and folded together: one exchange, no join.
+    known = F.col("src").isNotNull() & F.col("dest").isNotNull()
+    written = results.filter(F.col("status").isin("ok", "overwrite") & known)
+    sides = plan.select("src", "dest", F.lit(1).alias("_side")).unionByName(written.select("src", "dest", F.lit(2).alias("_side")))
     return (
-        skew.attach(plan.select("src", "dest").distinct(), written, ["src", "dest"])
-        .groupBy("src").agg(F.count_if(F.col("_written").isNull()).alias("_open"))
+        sides.groupBy("src", "dest").agg(F.bit_or("_side").alias("_sides")).filter("_sides <> 2")
+        .groupBy("src").agg(F.count_if(F.col("_sides") == 1).alias("_open"))
         .filter(F.col("_open") == 0).select("src"))
 
 
@@ -273,7 +274,7 @@ def stale_pages(assets: DataFrame, plan: DataFrame, results: DataFrame) -> DataF
             "src", F.col("src_id"), P.parent("dest").alias("folder"),
             F.lower(P.stem_of(P.file_name("src"))).alias("stem")).distinct())
     left_over = skew.attach(
-        assets.filter(F.col("group_id").isNotNull()), current.select(F.col("dest").alias("path")).distinct(), ["path"], "left_anti")
+        assets.filter(F.col("group_id").isNotNull()), current.select(F.col("dest").alias("path")), ["path"], "left_anti")
     left_over = (
         left_over.withColumn("folder", P.parent("path"))
         .withColumn("stem", F.lower(P.parse_page_name(P.stem_of(P.file_name("path")))["stem"])))
