@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.config import layout_for
 from shelfmark.functions import paths as P
-from shelfmark.operators import layout, policy, provenance, report, sync
+from shelfmark.operators import layout, policy, provenance, report
 from shelfmark.functions.recipes import quality_recipe_changed
-from shelfmark.plans.archive import flag_collisions
+from shelfmark.plans.archive import meet_outputs
 
 EXACT, LOSSY = ("lossless", "recover"), ("convert", "decode")
 #: What the records of existing outputs tell; an output that has none was not looked at.
@@ -84,8 +84,7 @@ def plan_transcode(assets: DataFrame, boxes: DataFrame, existing: DataFrame, jou
         _route_plan(routed, ("lossless", "convert"), "encode", mode, root, rename),
         _route_plan(routed, ("recover", "decode"), "decode", mode, root, rename))
     plan = policy.one_direction(plan, deletes, decode_asked)
-    plan = flag_collisions(plan)
-    plan = sync.sync_plan(plan, existing, overwrite)
+    plan = meet_outputs(plan, existing, overwrite)
     # The journal lies beside the archive: the output when encoding, else the source.
     encodes: Column = F.col("direction") == "encode"
     archive = F.when(encodes, F.col("dest")).otherwise(F.col("path"))
